@@ -17,7 +17,7 @@ from ..session import shared_dir
 #: A word: characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a range of keys holds on average; what one sort and prefix sum works on.
-ROWS_A_RANGE = 50_000
+ROWS_A_RANGE = 5_000
 
 
 def word_count(text: Column) -> Column:
