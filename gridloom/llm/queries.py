@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table
-from . import html_extract, line_dedup, mixing, quality, token_counts, token_files, url_filter
+from . import decontam, html_extract, line_dedup, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -142,9 +142,25 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    features, model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, features, model)
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.link_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     found = [
-        op1_mix_sources, op3_quality_rules, op4_token_counts, op5_html_extraction, op6_url_filter, op7_line_dedup, op8_token_files,
+        op1_mix_sources, op2_toxicity, op3_quality_rules, op4_token_counts, op5_html_extraction, op6_url_filter, op7_line_dedup, op8_token_files,
+        op9_ngram_join, op10_decontamination,
     ]
     return {f.__name__: f for f in found}
 
