@@ -55,29 +55,30 @@ def repeat_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), let(pairs, covered)).otherwise(0)
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_m`` of the measures that the rules read, of each whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    at = lambda i, k: F.get(F.col("_words"), i + k)
-    n = F.size("_words")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_grams", F.transform(starts, lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)])))
+def measures(text: Column) -> Column:
+    """A struct of the measures that the rules read, of each whole text."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    measures = {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": _count(text, "[#*$%&|<>]"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_grams")).cast("long"),
-        "n_upper": _count(text, r"\p{Lu}"),
-        "n_shouts": _count(text, r"!!|\?\?"),
-        "n_echoes": F.size(F.filter("_words", lambda w, i: w == at(i, 1))).cast("long"),
-        "n_function": F.size(F.filter("_words", lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long"),
-    }
-    measured = d.select(*docs.columns, F.struct(*[c.alias(k) for k, c in measures.items()]).alias("_m"))
-    return measured
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
+        grams = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+        found = {
+            "n_words": n.cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
+            "n_symbols": _count(text, "[#*$%&|<>]"),
+            "n_lines": let(lines, lambda x: F.size(x)).cast("long"),
+            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "n_repeat_words": let(grams, repeat_words).cast("long"),
+            "n_upper": _count(text, r"\p{Lu}"),
+            "n_shouts": _count(text, r"!!|\?\?"),
+            "n_echoes": F.size(F.filter(words, lambda w, i: w == F.get(words, i + 1))).cast("long"),
+            "n_function": F.size(F.filter(words, lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long"),
+        }
+        return F.struct(*[c.alias(k) for k, c in found.items()])
+
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words)
 
 
 def base_failed(m: Column) -> Column:
@@ -176,7 +177,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
     an empty table gives none.
     """
     shared_dir(docs.sparkSession)
-    measured = with_measures(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "_m").checkpoint()
+    measured = docs.select(F.col(id_col).alias("id"), measures(F.col(text_col)).alias("_m")).checkpoint()
     model = fit(measured)
     quality = posterior(F.col("_m"), model)
     failed = base_failed(F.col("_m"))
@@ -186,8 +187,6 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns."""
     shared_dir(docs.sparkSession)
-    counted = with_measures(docs.select(F.col(text_col).alias("text"))).select("_m").checkpoint()
-    model = fit(counted)
-    m = F.col("_m")
-    kept = with_measures(docs, text_col).where(~base_failed(m) & (posterior(m, model) >= threshold))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = fit(docs.select(measures(F.col(text_col)).alias("_m")).checkpoint())
+    good = lambda m: ~base_failed(m) & (posterior(m, model) >= threshold)
+    return docs.where(let(measures(F.col(text_col)), good))
