@@ -1 +1 @@
-
+"""Column expressions: binning, angles, plane geometry, and aggregates built on them."""

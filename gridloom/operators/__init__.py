@@ -1 +1 @@
-
+"""Operators over DataFrames of samples, events, bins, edges and fields."""

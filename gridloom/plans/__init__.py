@@ -1 +1 @@
-
+"""Named queries over the dataset tables, each with its SQL."""

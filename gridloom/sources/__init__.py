@@ -1 +1 @@
-
+"""Readers, writers and simulated sources."""
