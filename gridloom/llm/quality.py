@@ -28,6 +28,8 @@ FUNCTION_WORDS = (
 ).split()
 #: Rounds of estimation; it ends sooner once nothing moves.
 ROUNDS = 200
+#: A rule is taken to vote bad on at most this share of good documents.
+MOST_WRONG = 0.004
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -114,16 +116,16 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
     """Log odds of being good before any vote, and for each rule of its good and bad vote.
 
     ``patterns``: votes and how many documents cast them so, at most 3 ** rules rows.
-    Votes are taken to be independent within good and within bad documents.  A bad vote
-    starts out as much rarer on good documents than on bad ones, which settles which of the
-    two classes is the good one; and stays so.
+    Votes are taken to be independent within good and within bad documents.  To begin with, a
+    document with any bad vote is likely to be bad; that settles which class is the good one,
+    and lets kinds of bad documents that fail different rules start out in the same class.
     """
-    n_rules = len(patterns[0][0]) if patterns else 0
+    if not patterns:
+        return 0.0, []
+    n_rules = len(patterns[0][0])
     total = sum(n for _, n in patterns)
-    prior = 0.85
-    #: P(bad vote | good), P(bad vote | bad), of those that vote.
-    bad_if_good, bad_if_bad = [0.02] * n_rules, [0.3] * n_rules
-    for _ in range(ROUNDS):
+    prior, bad_if_good, bad_if_bad = 0.5, [0.5] * n_rules, [0.5] * n_rules  # P(bad vote | class), of those that vote
+    for step in range(ROUNDS):
         good_mass = 0.0
         sums = [[1e-9] * 4 for _ in range(n_rules)]  # good: votes, bad votes; bad: votes, bad votes
         for votes, n in patterns:
@@ -133,6 +135,8 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
                     odds += math.log(bad_if_good[j] / bad_if_bad[j])
                 elif v > 0:
                     odds += math.log((1 - bad_if_good[j]) / (1 - bad_if_bad[j]))
+            if step == 0:
+                odds = -4.0 if min(votes) < 0 else 4.0
             good = n / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             good_mass += good
             for j, v in enumerate(votes):
@@ -143,7 +147,7 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
                         sums[j][1] += good
                         sums[j][3] += n - good
         new_prior = min(0.999, max(0.5, good_mass / total))
-        new_good = [min(0.1, max(1e-4, s[1] / s[0])) for s in sums]
+        new_good = [min(MOST_WRONG, max(1e-4, s[1] / s[0])) for s in sums]
         new_bad = [min(0.99, max(2 * g, 1e-3, s[3] / s[2])) for s, g in zip(sums, new_good)]
         moved = max([abs(new_prior - prior), *(abs(a - b) for a, b in zip(new_good + new_bad, bad_if_good + bad_if_bad))], default=0.0)
         prior, bad_if_good, bad_if_bad = new_prior, new_good, new_bad
