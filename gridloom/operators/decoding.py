@@ -143,3 +143,41 @@ def explained_variance(template: DataFrame, match: DataFrame, control: DataFrame
     r = d.agg(F.corr("t", "m").alias("tm"), F.corr("t", "c").alias("tc"), F.corr("m", "c").alias("mc"))
     part = lambda a, b: F.pow(F.try_divide(F.col(a) - F.col(b) * F.col("mc"), F.sqrt((1 - F.col(b) * F.col(b)) * (1 - F.col("mc") * F.col("mc")))), 2)
     return r.select(part("tm", "tc").alias("ev"), part("tc", "tm").alias("rev"))
+
+
+def isotonic_fit(decoded: DataFrame, increasing: bool = True) -> DataFrame:
+    """(t_idx, fitted, p): monotone fit of position (t_idx, s, p) over time, weighted by p, by pool-adjacent-violators of Spark ML."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    d = decoded.select("t_idx", F.col("t_idx").cast("double").alias("features"), F.col("s").alias("label"), F.col("p").alias("weight"))
+    model = IsotonicRegression(isotonic=increasing, weightCol="weight").fit(d)
+    return model.transform(d).select("t_idx", F.col("prediction").alias("fitted"), F.col("weight").alias("p"))
+
+
+def radon_line(post: DataFrame, n_bins: int, n_slopes: int, width: int = 1) -> DataFrame:
+    """(slope, offset, score): the line of bins over time that holds most of a posterior (t_idx, bin_id, p).
+
+    Each cell votes for the lines that pass within ``width`` of it; votes are summed by Spark.
+    """
+    slopes = F.explode(F.array(*[F.lit(-n_bins / 4 + k * (n_bins / 2) / max(1, n_slopes - 1)) for k in range(n_slopes)]))
+    d = post.select("t_idx", "bin_id", "p", slopes.alias("slope"))
+    offset = F.rint(F.col("bin_id") - F.col("slope") * F.col("t_idx")).cast("long")
+    near = F.explode(F.sequence(F.lit(-width), F.lit(width)))
+    votes = d.select("slope", "p", offset.alias("o"), near.alias("k")).groupBy("slope", (F.col("o") + F.col("k")).alias("offset")).agg(F.sum("p").alias("score"))
+    return votes.orderBy(F.col("score").desc(), F.abs("slope"), "offset").limit(1)
+
+
+def decoding_correlation(decoded: DataFrame, truth: DataFrame) -> DataFrame:
+    """(r): weighted correlation of mean_x, mean_y with x, y of ``truth``, averaged over both; weights are peak probabilities."""
+    d = decoded.join(truth.select("t_idx", "x", "y"), "t_idx")
+    w = F.col("peak")
+
+    def part(a: str, b: str) -> dict:
+        a_, b_ = F.col(a), F.col(b)
+        return {"w": F.sum(w), "a": F.sum(w * a_), "b": F.sum(w * b_), "aa": F.sum(w * a_ * a_), "bb": F.sum(w * b_ * b_), "ab": F.sum(w * a_ * b_)}
+
+    sums = d.agg(*[e.alias(f"{k}{i}") for i, (a, b) in enumerate((("mean_x", "x"), ("mean_y", "y"))) for k, e in part(a, b).items()])
+    one = lambda i: (F.col(f"ab{i}") - F.col(f"a{i}") * F.col(f"b{i}") / F.col(f"w{i}")) / F.sqrt(
+        (F.col(f"aa{i}") - F.col(f"a{i}") * F.col(f"a{i}") / F.col(f"w{i}")) * (F.col(f"bb{i}") - F.col(f"b{i}") * F.col(f"b{i}") / F.col(f"w{i}"))
+    )
+    return sums.select(((one(0) + one(1)) / 2).alias("r"))

@@ -165,3 +165,65 @@ def egocentric_occupancy(samples: DataFrame, objects: list[tuple[float, float]],
 
 def zero_filled(grid: Grid, values: DataFrame, column: str) -> DataFrame:
     return fill_bins(grid, values, (column,))
+
+
+def border_scores(rates: DataFrame, grid: Grid, share: float = 0.3) -> DataFrame:
+    """(unit, score): how much a unit's field lies along one wall of a rectangular grid, from -1 to 1.
+
+    The field is every bin of at least ``share`` of the peak.  Cover is the largest share of
+    a wall's bins in the field, depth the mean distance of the field from its nearest wall,
+    by rate and half the shorter side.
+    """
+    d = field_bins(rates, share).join(F.broadcast(grid.bins.select("bin_id", "ix", "iy")), "bin_id")
+    nx, ny = grid.shape
+    steps = F.least(F.least("ix", nx - 1 - F.col("ix")) * grid.width[0], F.least("iy", ny - 1 - F.col("iy")) * grid.width[1])
+    deepest = min((nx - 1) * grid.width[0], (ny - 1) * grid.width[1]) / 2
+    walls = {"west": (F.col("ix") == 0, ny), "east": (F.col("ix") == nx - 1, ny), "south": (F.col("iy") == 0, nx), "north": (F.col("iy") == ny - 1, nx)}
+    cover = F.greatest(*[F.count_if(on) / n for on, n in walls.values()])
+    depth = F.sum(F.col("rate") * steps) / F.sum("rate") / deepest
+    m = d.groupBy("unit").agg(cover.alias("cover"), depth.alias("depth"))
+    return m.select("unit", F.try_divide(F.col("cover") - F.col("depth"), F.col("cover") + F.col("depth")).alias("score"))
+
+
+def grid_scores(rates: DataFrame, grid: Grid) -> DataFrame:
+    """(unit, score): hexagonal symmetry of each rate map's autocorrelation.
+
+    A unit's map is one small matrix, whose size is that of the grid; units are dealt to
+    tasks.  The score is the least correlation at 60 and 120 degrees less the largest at 30,
+    90 and 150, over the ring without the central peak.
+    """
+    import numpy as np
+    import pandas as pd
+
+    nx, ny = grid.shape
+    placed = rates.where("rate is not null").join(F.broadcast(grid.bins.select("bin_id", "ix", "iy")), "bin_id").select("unit", "ix", "iy", "rate")
+    schema = f"unit {rates.schema['unit'].dataType.simpleString()}, score double"
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        m, known = np.zeros((nx, ny)), np.zeros((nx, ny))
+        m[rows["ix"], rows["iy"]], known[rows["ix"], rows["iy"]] = rows["rate"], 1.0
+        size = (2 * nx, 2 * ny)
+        spec = lambda a: np.fft.rfft2(a, size)
+        over = lambda a, b: np.fft.irfft2(spec(a) * np.conj(spec(b)), size)
+        n, s, q, p = over(known, known).round(), over(m, known), over(m * m, known), over(m, m)
+        t, u = over(known, m), over(known, m * m)
+        with np.errstate(all="ignore"):
+            r = (n * p - s * t) / np.sqrt((n * q - s * s) * (n * u - t * t))
+        r = np.roll(np.where((n >= 10) & np.isfinite(r), r, np.nan), (nx, ny), (0, 1))
+        y, x = np.mgrid[-nx:nx, -ny:ny]
+        radius = np.hypot(x, y)
+        low = next((k for k in range(1, min(nx, ny)) if np.nanmean(r[(radius >= k) & (radius < k + 1)]) < 0.1), 1)
+        ring = (radius >= low) & (radius <= min(nx, ny) * 0.8) & np.isfinite(r)
+        by = {}
+        for degrees in (30, 60, 90, 120, 150):
+            a = np.radians(degrees)
+            i = np.rint(np.cos(a) * y[ring] - np.sin(a) * x[ring]).astype(int) + nx
+            j = np.rint(np.sin(a) * y[ring] + np.cos(a) * x[ring]).astype(int) + ny
+            inside = (i >= 0) & (i < 2 * nx) & (j >= 0) & (j < 2 * ny)
+            a, b = r[ring][inside], r[i[inside], j[inside]]
+            fine = np.isfinite(b)
+            by[degrees] = np.corrcoef(a[fine], b[fine])[0, 1] if fine.sum() > 2 else np.nan
+        value = min(by[60], by[120]) - max(by[30], by[90], by[150])
+        return pd.DataFrame({"unit": [rows["unit"].iloc[0]], "score": [float(value)]})
+
+    return placed.groupBy("unit").applyInPandas(score, schema)

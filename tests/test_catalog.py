@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import gridloom.plans.activity
+import gridloom.plans.further
 import gridloom.plans.spatial  # noqa: F401
 from gridloom.plans.catalog import CATALOG
 

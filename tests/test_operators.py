@@ -220,3 +220,41 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM binned").first()[0] == 200
+
+
+def test_fitted_transforms(spark):
+    from gridloom.operators import alignment
+
+    r = random.Random(4)
+    p = [(r.random() * 10, r.random() * 10) for _ in range(50)]
+    for kind, m in (("affine", [[2.0, 0.3, 1.0], [-0.4, 1.5, -2.0]]), ("similarity", [[1.2, -1.6, 3.0], [1.6, 1.2, 4.0]]), ("rigid", [[0.6, -0.8, 3.0], [0.8, 0.6, 4.0]])):
+        rows = [(x, y, m[0][0] * x + m[0][1] * y + m[0][2], m[1][0] * x + m[1][1] * y + m[1][2]) for x, y in p]
+        found = alignment.fit_transform(spark.createDataFrame(rows, "x double, y double, u double, v double"), kind)
+        assert all(abs(a - b) < 1e-6 for s, t in zip(found, m) for a, b in zip(s, t))
+
+
+def test_hexagonal_map_scores_high(spark):
+    g = grid.regular_grid(spark, (0.0, 0.0), (2.0, 2.0), (40, 40))
+    hexagonal = simulate.grid_rate(F.col("x"), F.col("y"), 24.0, 10.0)
+    square = 5 + 2.5 * F.cos(F.col("x") * 0.26) + 2.5 * F.cos(F.col("y") * 0.26)
+    rates = g.bins.select(F.explode(F.array(F.struct(F.lit(0).alias("unit"), hexagonal.alias("rate")), F.struct(F.lit(1).alias("unit"), square.alias("rate")))).alias("u"), "bin_id")
+    scores = {r.unit: r.score for r in encoding.grid_scores(rates.select("u.unit", "bin_id", "u.rate"), g).collect()}
+    assert scores[0] > 0.7 and scores[1] < 0.3
+
+
+def test_recording_and_cues(spark, walk):
+    from gridloom.operators import visibility
+    from gridloom.operators.session import Recording
+
+    g = grid.regular_grid(spark, (0.0, 0.0), (10.0, 10.0), (10, 5))
+    spikes = walk.select("session", F.lit("a").alias("unit"), "t")
+    epochs = spark.createDataFrame([(10.0, 20.0)], "start_t double, stop_t double")
+    cut = Recording(g, walk, spikes).restrict(epochs, 10.0).units("a")
+    assert cut.samples.count() == cut.spikes.count() == walk.where("t between 10 and 20").count()
+    eyes = spark.createDataFrame([(5.0, 5.0, 0.0)], "x double, y double, heading double")
+    cues = {"ahead": (55.0, 5.0), "behind": (-5.0, 5.0), "side": (5.0, 45.0)}
+    assert [r.cue for r in visibility.visible_cues(eyes, g, cues, 1.0).collect()] == ["ahead"]
+    walled = grid.subset(g, F.col("ix") != 3)
+    assert visibility.visible_cues(eyes, walled, cues, 1.0).collect() == []
+    rates = g.bins.select(F.lit(0).alias("unit"), "bin_id", F.when(F.col("ix") == 0, 5.0).otherwise(0.1).alias("rate"))
+    assert encoding.border_scores(rates, g).first().score > 0.9
