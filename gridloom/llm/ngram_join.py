@@ -3,16 +3,18 @@
 Sets are put in bands by size.  In a band the domain of shingles is hashed into parts; two
 sets of Jaccard similarity 0.8 or more, the smaller with n shingles, differ in at most n/4
 shingles and so in at most n/4 parts.  Each part's share of a set is a signature, and under
-any one order of signatures the two sets have one in common among their first n/4 + 1.
-Signatures that are known to be frequent come last in that order.  Sets near a band's upper
-end sign for the next band too; sets of under ``SMALLEST_BAND`` shingles have a part for
-each shingle.  Where hashing leaves a set in no more than n/4 parts, it also signs by single
+any one order of signatures the two sets have ``SHARED`` in common among their first
+n/4 + SHARED.  Signatures that are known to be frequent come last in that order.  Sets near
+a band's upper end sign for the next band too; sets of under ``SMALLEST_BAND`` shingles have
+a part for each shingle.  Where hashing leaves a set too few parts, it also signs by single
 shingles, and so does any partner that its signatures could miss.
 
-Equal sets are one class from the start.  Candidates are first linked to the smallest
-document of each signature; once components of those links are known, only pairs of
-documents that share a signature across components remain, and all of these are verified.
-So links are found exactly, without all pairs within a group of copies.
+Equal sets are one class from the start.  Candidates are first linked to one document of
+each signature, the one whose signatures are most frequent: in a family of near copies that
+is close to the text they stem from.  Once components of those links are known, only pairs
+that share signatures across components remain, and all of these are tested: pairs of
+small groups by a join, those of large groups in blocks that compare bitmaps of the sets,
+so that only pairs which can be linked become rows.  Links are found exactly.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,11 @@ SHINGLE = 5
 #: Linked when 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 SMALLEST_BAND = 32
+#: Signatures that linked sets share at least. Sets of under four shingles link only with equal ones.
+SHARED = 3
+#: Documents with a signature up to which their pairs are joined; and in a block beyond.
+SMALL_GROUP = 48
+BLOCK = 1000
 #: A signature is frequent from so many documents of one batch on; so many are remembered.
 #: Both set only the order of signatures: results hold for any value.
 FREQUENT_IN_BATCH = 6
@@ -41,7 +49,7 @@ MAX_FREQUENT = 200_000
 SALTS = 32
 #: Bits of the filter for documents whose texts are needed again.
 FILTER_BITS = 1 << 27
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -107,21 +115,40 @@ def signatures(shingles: np.ndarray, band: int) -> list[np.ndarray]:
     starts = np.flatnonzero(np.diff(part, prepend=np.uint64(band)))
     sums = np.add.reduceat(_mix(shingles), starts)
     signed = _mix(sums + part[starts] * _ODD[0] + _tag(2 * band))
-    return [signed, singles] if len(signed) <= n // 4 else [signed]
+    return [signed, singles] if len(signed) < n // 4 + SHARED else [signed]
 
 
-def first_in_order(signed: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n // 4 + 1 of a set's signatures, infrequent and frequent ones."""
-    m = n // 4 + 1
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle, among two to four times as many bits as shingles."""
+    n = max(64, 4 << max(0, len(shingles).bit_length() - 1))
+    bits = np.zeros(n, dtype=bool)
+    bits[(shingles >> np.uint64(20)) & np.uint64(n - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
+    """Whether sets with these bitmaps (uint8) can be linked: each bit that only one has is a shingle the other lacks."""
+    if len(a) > len(b):
+        a = np.bitwise_or.reduce(a.reshape(-1, len(b)), axis=0)
+    elif len(b) > len(a):
+        b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    common = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * common >= SIMILARITY * (n_a + n_b - common)
+
+
+def first_in_order(signed: np.ndarray, n: int, frequent: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first n // 4 + SHARED of a set's signatures, infrequent and frequent ones; and how frequent all of its are."""
+    m = n // 4 + SHARED
     if len(frequent):
         place = np.minimum(np.searchsorted(frequent, signed), len(frequent) - 1)
         often = frequent[place] == signed
+        score = int(times[place[often]].sum()) // len(signed)
         rare, often = signed[~often], signed[often]
     else:
-        rare, often = signed, signed[:0]
+        rare, often, score = signed, signed[:0], 0
     if len(rare) > m:
         rare = np.partition(rare, m - 1)[:m]
-    return rare, np.sort(often)[: m - len(rare)]
+    return rare, np.sort(often)[: m - len(rare)], score
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -141,18 +168,19 @@ def _filter_place(node: Column) -> Column:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Of ``docs`` (id, text): rows (id, n, digest); and rows (signature, times) of frequent ones."""
+    """Of ``docs`` (id, text): rows (id, n, digest, bits); and rows (signature, times) of frequent ones."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
             ids, texts = batch.columns
-            sizes, digests, signed = [], [], []
+            sizes, digests, bits, signed = [], [], [], []
             for text in texts:
                 s = shingle(text.as_py())
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                signed.extend(x for band in (bands(len(s)) if len(s) else ()) for x in signatures(s, band))
+                bits.append(bitmap(s))
+                signed.extend(x for band in (bands(len(s)) if len(s) > SHARED else ()) for x in signatures(s, band))
             values, times = np.unique(np.concatenate(signed) if signed else np.zeros(0, dtype=np.uint64), return_counts=True)
             often = np.flatnonzero(times >= FREQUENT_IN_BATCH)
             n, k = len(sizes), len(often)
@@ -160,41 +188,112 @@ def _sets(docs: DataFrame) -> DataFrame:
                 pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
                 pa.array(sizes + [None] * k, pa.int64()),
                 pa.array(digests + [None] * k, pa.binary()),
+                pa.array(bits + [None] * k, pa.binary()),
                 pa.array([None] * n + values[often].view(np.int64).tolist(), pa.int64()),
                 pa.array([None] * n + times[often].tolist(), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "signature", "times"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "bits", "signature", "times"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(build, f"id {id_type}, n bigint, digest binary, signature bigint, times bigint")
+    return docs.mapInArrow(build, f"id {id_type}, n bigint, digest binary, bits binary, signature bigint, times bigint")
 
 
-def _signed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(signature, salt, node) of ``docs`` (node, text); salt is 0 for infrequent signatures."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _signed(docs: DataFrame, frequent: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(signature, salt, score, node) of ``docs`` (node, text); salt and score are 0 for infrequent signatures."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, times))
     node_type = docs.schema["node"].dataType.simpleString()
+    names = ["signature", "salt", "score", "node"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            signed, salts, owners, size = [], [], [], 0
-            salt_of = batch.column(2).to_numpy()
+            rows: list[list[np.ndarray]] = [[], [], [], []]
+            size, salt_of = 0, batch.column(2).to_numpy()
             for i, text in enumerate(batch.column(1)):
                 s = shingle(text.as_py())
-                for band in bands(len(s)):
+                for band in bands(len(s)) if len(s) > SHARED else ():
                     for x in signatures(s, band):
-                        for k, some in enumerate(first_in_order(x, len(s), shared.value)):
-                            signed.append(some)
-                            salts.append(np.full(len(some), k * (1 + salt_of[i]), dtype=np.int32))
-                            owners.append(np.full(len(some), i, dtype=np.int32))
+                        rare, often, score = first_in_order(x, len(s), *shared.value)
+                        for some, salt, points in ((rare, 0, 0), (often, 1 + salt_of[i], score)):
+                            rows[0].append(some)
+                            for column, value in zip(rows[1:], (salt, points, i)):
+                                column.append(np.full(len(some), value, dtype=np.int32))
                             size += len(some)
                 if size > 500_000 or i == batch.num_rows - 1 and size:
-                    rows = [np.concatenate(signed).view(np.int64), np.concatenate(salts), np.concatenate(owners)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), batch.column(0).take(pa.array(rows[2]))], names=["signature", "salt", "node"])
-                    signed, salts, owners, size = [], [], [], 0
+                    signed, *rest = (np.concatenate(x) for x in rows)
+                    node = batch.column(0).take(pa.array(rest.pop()))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed.view(np.int64)), *map(pa.array, rest), node], names=names)
+                    rows, size = [[], [], [], []], 0
 
     rows = docs.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.mapInArrow(sign, f"signature bigint, salt int, node {node_type}")
+    return rows.mapInArrow(sign, f"signature bigint, salt int, score int, node {node_type}")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and bitmaps in ``sets`` (node, n, bits) allow a link."""
+    node_type = sets.schema["node"].dataType.simpleString()
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [
+                may_link(np.frombuffer(a.as_buffer(), np.uint8), n_a, np.frombuffer(b.as_buffer(), np.uint8), n_b)
+                for n_a, a, n_b, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5))
+            ]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    of = lambda x, *columns: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    sized = pairs.where("a < b").distinct().join(of("a", "n"), "a").join(of("b", "n"), "b")
+    sized = sized.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+    both = sized.join(of("b", "n", "bits"), "b").join(of("a", "n", "bits"), "a")
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(test, f"a {node_type}, b {node_type}").distinct()
+
+
+def _blockwise(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components of large groups, that bitmaps allow to be linked.
+
+    ``members`` has signature, size, node, component, n and bits.  A group is cut into blocks
+    and every two of its blocks meet in a group of their own, so none holds more than two
+    blocks of ``BLOCK`` rows or so.  A pair is told by the smallest large signature it shares.
+    """
+    node_type = members.schema["node"].dataType.simpleString()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.groupBy("node").agg(F.sort_array(F.collect_set("signature")).alias("own"))
+    m = members.join(own, "node").withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    m = m.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    m = m.select("signature", F.least("_i", "_j").alias("low"), F.greatest("_i", "_j").alias("high"), "_i", "node", "component", "n", "bits", "own")
+
+    def meet(group: pa.Table) -> pa.Table:
+        low, high, block = (group.column(c).to_numpy() for c in ("low", "high", "_i"))
+        nodes = group.column("node").combine_chunks()
+        parts = pc.dictionary_encode(group.column("component").combine_chunks()).indices.to_numpy()
+        n = group.column("n").to_numpy()
+        bits = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in group.column("bits").combine_chunks()]
+        widths = np.array([len(x) for x in bits])
+        found_a, found_b = [], []
+        for wide in np.unique(widths):
+            for narrow in np.unique(widths[widths <= wide]):
+                a, b = np.flatnonzero(widths == narrow), np.flatnonzero(widths == wide)
+                set_a = np.unpackbits(np.stack([bits[i] for i in a]), axis=1)
+                set_b = np.unpackbits(np.bitwise_or.reduce(np.stack([bits[i] for i in b]).reshape(len(b), -1, narrow), axis=1), axis=1)
+                both = set_a.astype(np.float32) @ set_b.astype(np.float32).T
+                n_a, n_b = n[a][:, None], n[b][None, :]
+                common = np.minimum(n_a - set_a.sum(axis=1)[:, None] + both, n_b - set_b.sum(axis=1)[None, :] + both)
+                meets = 100 * common >= SIMILARITY * (n_a + n_b - common)
+                meets &= parts[a][:, None] != parts[b][None, :]
+                if low[0] != high[0]:  # pairs within a block meet where it is paired with itself
+                    meets &= block[a][:, None] != block[b][None, :]
+                at_a, at_b = np.nonzero(meets)
+                found_a.append(a[at_a])
+                found_b.append(b[at_b])
+        signature = group.column("signature")[0].as_py()
+        shared = [set(x.as_py()) for x in group.column("own").combine_chunks()]
+        at_a, at_b = np.concatenate(found_a), np.concatenate(found_b)
+        told = np.array([min(shared[i] & shared[j]) == signature for i, j in zip(at_a.tolist(), at_b.tolist())], dtype=bool)
+        x, y = nodes.take(pa.array(at_a[told])), nodes.take(pa.array(at_b[told]))
+        first = pc.less(x, y)
+        return pa.table({"a": pc.if_else(first, x, y), "b": pc.if_else(first, y, x)})
+
+    return m.groupBy("signature", "low", "high").applyInArrow(meet, f"a {node_type}, b {node_type}").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -242,41 +341,43 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets_path, groups_path = scratch_path(spark, "shingle-sets"), scratch_path(spark, "signature-groups")
     _sets(rows).write.parquet(sets_path)
     found = spark.read.parquet(sets_path)
-    sets = found.where("signature is null").select("id", "n", "digest")
+    sets = found.where("signature is null").select("id", "n", "digest", "bits")
     often = found.where("signature is not null").groupBy("signature").agg(F.sum("times").alias("times"))
-    # Bounded by MAX_FREQUENT, 8 bytes each.
-    frequent = [r["signature"] for r in often.orderBy(F.col("times").desc(), "signature").limit(MAX_FREQUENT).select("signature").collect()]
-    frequent = np.sort(np.array(frequent, dtype=np.int64).view(np.uint64))
+    # Bounded by MAX_FREQUENT, 12 bytes each.
+    top = sorted(often.orderBy(F.col("times").desc(), "signature").limit(MAX_FREQUENT).collect(), key=lambda r: r["signature"] % (1 << 64))
+    frequent = np.array([r["signature"] for r in top], dtype=np.int64).view(np.uint64)
+    times = np.array([min(r["times"], 1 << 30) for r in top], dtype=np.int64)
 
     filled = sets.where("n > 0 and id is not null")
-    classes = filled.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"))
-    nodes = classes.select("node", "n").distinct()
+    classes = filled.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = classes.select("node", "n", "bits")
     texts = rows.join(nodes.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "text")
     group = Window.partitionBy("signature", "salt")
-    groups = _signed(texts, frequent).withColumns({"first": F.min("node").over(group), "last": F.max("node").over(group)})
-    groups.where("first < last or salt > 0").drop("last").write.parquet(groups_path)
+    best = F.min_by("node", F.struct(-F.col("score"), F.col("node"))).over(group)
+    groups = _signed(texts, frequent, times).withColumns({"size": F.count("*").over(group), "best": best, "top": F.max("score").over(group)})
+    groups.where("size > 1 or salt > 0").drop("score").write.parquet(groups_path)
     groups = spark.read.parquet(groups_path)
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow a link."""
-        sizes = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
-        sized = pairs.where("a < b").distinct().join(sizes("a"), "a").join(sizes("b"), "b")
-        return sized.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-
-    stars = groups.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    heads = groups.where("salt > 0").select("signature", F.col("first").alias("b")).distinct()
-    heads = heads.join(heads.groupBy("signature").agg(F.min("b").alias("a")), "signature").select("a", "b")
-    tried = near(stars.union(heads)).checkpoint()
+    # Each document with the best one of its groups; where a signature is salted, also its salts' best ones.
+    ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = groups.select(F.col("best").alias("a"), F.col("node").alias("b"))
+    heads = groups.where("salt > 0").select("signature", F.col("best").alias("b"), "top").distinct()
+    heads = heads.join(heads.groupBy("signature").agg(F.min_by("b", F.struct(-F.col("top"), F.col("b"))).alias("a")), "signature").select("a", "b")
+    tried = _plausible(ordered(stars.union(heads)), nodes).checkpoint()
     links = _verified(rows, tried).checkpoint()
     component = connected_components(links)
 
     member = groups.select("signature", "node").join(component, "node", "left")
     member = member.withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("signature").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("signature")
-    open_groups = member.join(mixed, "signature", "left_semi")
-    side = lambda x: open_groups.select("signature", F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    across = side("a").join(side("b"), "signature").where("a < b and c_a <> c_b").select("a", "b")
-    rest = near(across).join(tried, ["a", "b"], "left_anti").checkpoint()
+    mixed = member.groupBy("signature").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")).where("c < d")
+    member = member.join(mixed.select("signature", "size"), "signature")
+    small = member.where(F.col("size") <= SMALL_GROUP)
+    side = lambda x: small.select("signature", F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    across = side("a").join(side("b"), "signature").where("a < b and c_a <> c_b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    large = member.where(F.col("size") > SMALL_GROUP).join(nodes, "node")
+    # Linked documents that share a large group are found there; others share enough small ones.
+    across = across.where(F.col("k") >= SHARED).select("a", "b")
+    rest = _plausible(across.union(_blockwise(large)).join(tried, ["a", "b"], "left_anti"), nodes).checkpoint()
     more = _verified(rows, rest).checkpoint()
 
     # An id with several texts is in several classes, and links them.
