@@ -16,7 +16,12 @@ import numpy as np
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
-BLOCK = 1024
+BLOCK = 256
+#: The first selector wide enough, by bits.
+_NARROWEST = np.append(np.searchsorted(WIDTHS, np.arange(61)), [len(WIDTHS)] * 4).astype(np.int8)
+#: Bits of an id, and a mask of them, by the top four bits of a word.
+_WIDTH_OF = np.append(WIDTHS, [60, 60])
+_MASK_OF = (np.uint64(1) << _WIDTH_OF.astype(np.uint64)) - np.uint64(1)
 MAGIC = b"GS8b"
 _HEADER = struct.Struct("<4sIQQQQ")  # magic, block size, ids, blocks, words, escapes
 
@@ -37,14 +42,18 @@ def pack(values: np.ndarray) -> bytes:
     padded = np.zeros(blocks * BLOCK, dtype=np.uint64)
     padded[:n] = values
     # The selector at each place: the densest whose width holds all the ids it would take.
-    # Zeros beyond the end fit everywhere; a word that reaches past its block is padded.
+    # Zeros beyond a block fit everywhere; a word that reaches past its block is padded.
+    needs = np.zeros((blocks, BLOCK + 64), dtype=np.int8)
+    needs[:, :BLOCK] = _NARROWEST[_bit_lengths(padded)].reshape(blocks, BLOCK)
     select = np.full((blocks, BLOCK), ESCAPE, dtype=np.int8)
-    bits = np.searchsorted(WIDTHS, _bit_lengths(padded)).astype(np.int8).reshape(blocks, BLOCK)
-    place = np.arange(BLOCK, dtype=np.int16)
+    widest = {1: needs}  # by count: the widest of so many ids from each place on
     for s in range(len(COUNTS) - 1, -1, -1):
-        bad = np.where(bits > s, place, np.int16(BLOCK + 64))
-        ahead = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        select[ahead - place >= COUNTS[s]] = s
+        n_ids = int(COUNTS[s])
+        if n_ids > 1:
+            half = next(c for c in widest if 2 * c >= n_ids)
+            widest[n_ids] = w = np.zeros_like(needs)
+            np.maximum(widest[half][:, :-half], widest[n_ids - half][:, half:], out=w[:, :-half])
+        np.copyto(select, np.int8(s), where=widest[n_ids][:, :BLOCK] <= s)
     step = np.append(COUNTS, [1, 1])[select].ravel()
     select = select.ravel()
     # Follow the words of all blocks side by side.
@@ -58,13 +67,10 @@ def pack(values: np.ndarray) -> bytes:
     starts = np.sort(np.concatenate(starts)) if starts else np.zeros(0, dtype=np.int64)
     kind = select[starts]
     words = kind.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(kind[kind != ESCAPE]):
-        mine = np.flatnonzero(kind == s)
-        places = starts[mine, None] + np.arange(COUNTS[s])
-        inside = places < end[starts[mine] // BLOCK][:, None]
-        ids = np.where(inside, padded[np.minimum(places, len(padded) - 1)], np.uint64(0))
-        shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-        words[mine] |= np.bitwise_or.reduce(ids << shifts, axis=1)
+    if n:  # words follow each other without a gap, so each takes the ids up to the next one's
+        took = np.diff(np.append(starts, n))
+        shift = (np.arange(n) - np.repeat(starts, took)) * np.repeat(_WIDTH_OF[kind], took)
+        words |= np.bitwise_or.reduceat(np.where(np.repeat(kind == ESCAPE, took), np.uint64(0), padded[:n] << shift.astype(np.uint64)), starts)
     escaped = np.flatnonzero(kind == ESCAPE)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(starts, begin).astype("<u8")
@@ -88,23 +94,15 @@ def unpack(data: bytes, first_block: int = 0, last_block: int | None = None) ->
     escapes = np.frombuffer(data, "<u8", n_escapes, at + 8 * n_words)
     kind = (words >> np.uint64(60)).astype(np.int64)
     count = np.append(COUNTS, [1, 1])[kind]
-    # Within a block words follow each other; each block's output starts at its own place.
-    ends = np.cumsum(count)
-    starts = ends - count
-    first = offsets[first_block:last_block] - lo
-    per_block = np.diff(np.append(first, hi - lo))
-    base = np.arange(last_block - first_block) * size - starts[first]
-    to = starts + np.repeat(base, per_block)
-    out = np.zeros((last_block - first_block) * size + 64, dtype=np.uint64)
-    limit = np.repeat((np.arange(last_block - first_block) + 1) * size, per_block)
-    for s in np.unique(kind):
-        mine = np.flatnonzero(kind == s)
-        if s == ESCAPE:
-            out[to[mine]] = escapes[(words[mine] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-            continue
-        shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-        ids = (words[mine, None] >> shifts) & np.uint64((1 << int(WIDTHS[s])) - 1)
-        places = to[mine, None] + np.arange(COUNTS[s])
-        inside = places < limit[mine, None]
-        out[places[inside]] = ids[inside]
-    return out[: min(n, last_block * size) - first_block * size]
+    # A block's last word may hold fewer ids than its selector says.
+    last = np.append(offsets[first_block + 1 : last_block], hi) - lo - 1
+    sizes = np.minimum(n - np.arange(first_block, last_block) * size, size)
+    count[last] -= np.add.reduceat(count, offsets[first_block:last_block] - lo) - sizes
+    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out = np.repeat(words, count)
+    out >>= (at * np.repeat(_WIDTH_OF[kind], count)).astype(np.uint64)
+    out &= np.repeat(_MASK_OF[kind], count)
+    escaped = np.flatnonzero(kind == ESCAPE)
+    if len(escaped):
+        out[(np.cumsum(count) - count)[escaped]] = escapes[(words[escaped] & _MASK_OF[ESCAPE]).astype(np.int64)]
+    return out
