@@ -19,6 +19,7 @@ so that only pairs which can be linked become rows.  Links are found exactly.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,9 @@ SHARED = 3
 #: Documents with a signature up to which their pairs are joined; and in a block beyond.
 SMALL_GROUP = 48
 BLOCK = 1000
+#: Bits of bitmaps that a comparison unpacks at once, and signatures counted at once: both bound memory.
+UNPACKED = 2_000_000
+COUNTED = 1_000_000
 #: A signature is frequent from so many documents of one batch on; so many are remembered.
 #: Both set only the order of signatures: results hold for any value.
 FREQUENT_IN_BATCH = 6
@@ -174,23 +178,36 @@ def _sets(docs: DataFrame) -> DataFrame:
         shingle = Shingler()
         for batch in batches:
             ids, texts = batch.columns
-            sizes, digests, bits, signed = [], [], [], []
+            sizes, digests, bits, signed, held = [], [], [], [], 0
+            frequent, times = [], []
+
+            def count() -> None:
+                values, n = np.unique(np.concatenate(signed), return_counts=True)
+                frequent.extend(values[n >= FREQUENT_IN_BATCH].view(np.int64).tolist())
+                times.extend(n[n >= FREQUENT_IN_BATCH].tolist())
+                signed.clear()
+
             for text in texts:
                 s = shingle(text.as_py())
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bits.append(bitmap(s))
-                signed.extend(x for band in (bands(len(s)) if len(s) > SHARED else ()) for x in signatures(s, band))
-            values, times = np.unique(np.concatenate(signed) if signed else np.zeros(0, dtype=np.uint64), return_counts=True)
-            often = np.flatnonzero(times >= FREQUENT_IN_BATCH)
-            n, k = len(sizes), len(often)
+                for band in bands(len(s)) if len(s) > SHARED else ():
+                    signed.extend(signatures(s, band))
+                    held += len(signed[-1])
+                if held >= COUNTED:
+                    count()
+                    held = 0
+            if signed:
+                count()
+            n, k = len(sizes), len(frequent)
             columns = [
                 pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
                 pa.array(sizes + [None] * k, pa.int64()),
                 pa.array(digests + [None] * k, pa.binary()),
                 pa.array(bits + [None] * k, pa.binary()),
-                pa.array([None] * n + values[often].view(np.int64).tolist(), pa.int64()),
-                pa.array([None] * n + times[often].tolist(), pa.int64()),
+                pa.array([None] * n + frequent, pa.int64()),
+                pa.array([None] * n + times, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "bits", "signature", "times"])
 
@@ -272,19 +289,23 @@ def _blockwise(members: DataFrame) -> DataFrame:
         found_a, found_b = [], []
         for wide in np.unique(widths):
             for narrow in np.unique(widths[widths <= wide]):
-                a, b = np.flatnonzero(widths == narrow), np.flatnonzero(widths == wide)
-                set_a = np.unpackbits(np.stack([bits[i] for i in a]), axis=1)
-                set_b = np.unpackbits(np.bitwise_or.reduce(np.stack([bits[i] for i in b]).reshape(len(b), -1, narrow), axis=1), axis=1)
-                both = set_a.astype(np.float32) @ set_b.astype(np.float32).T
-                n_a, n_b = n[a][:, None], n[b][None, :]
-                common = np.minimum(n_a - set_a.sum(axis=1)[:, None] + both, n_b - set_b.sum(axis=1)[None, :] + both)
-                meets = 100 * common >= SIMILARITY * (n_a + n_b - common)
-                meets &= parts[a][:, None] != parts[b][None, :]
-                if low[0] != high[0]:  # pairs within a block meet where it is paired with itself
-                    meets &= block[a][:, None] != block[b][None, :]
-                at_a, at_b = np.nonzero(meets)
-                found_a.append(a[at_a])
-                found_b.append(b[at_b])
+                rows = max(1, UNPACKED // (8 * int(narrow)))
+                of = lambda width: (x[k : k + rows] for x in [np.flatnonzero(widths == width)] for k in range(0, len(x), rows))
+                for a, b in itertools.product(of(narrow), list(of(wide))):
+                    set_a = np.unpackbits(np.stack([bits[i] for i in a]), axis=1)
+                    set_b = np.unpackbits(np.bitwise_or.reduce(np.stack([bits[i] for i in b]).reshape(len(b), -1, narrow), axis=1), axis=1)
+                    both = set_a.astype(np.float32) @ set_b.astype(np.float32).T
+                    n_a, n_b = n[a][:, None], n[b][None, :]
+                    common = np.minimum(n_a - set_a.sum(axis=1)[:, None] + both, n_b - set_b.sum(axis=1)[None, :] + both)
+                    meets = 100 * common >= SIMILARITY * (n_a + n_b - common)
+                    meets &= parts[a][:, None] != parts[b][None, :]
+                    if narrow == wide:
+                        meets &= a[:, None] < b[None, :]
+                    if low[0] != high[0]:  # pairs within a block meet where it is paired with itself
+                        meets &= block[a][:, None] != block[b][None, :]
+                    at_a, at_b = np.nonzero(meets)
+                    found_a.append(a[at_a])
+                    found_b.append(b[at_b])
         signature = group.column("signature")[0].as_py()
         shared = [set(x.as_py()) for x in group.column("own").combine_chunks()]
         at_a, at_b = np.concatenate(found_a), np.concatenate(found_b)

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces an encoder remembers before it starts anew; bounds a worker's memory.
-PIECES_KEPT = 700_000
+PIECES_KEPT = 250_000
 #: New pieces encoded together.
 RUN = 1000
 #: Letters and digits below this are so in all versions of Unicode.
