@@ -26,7 +26,7 @@ COVERAGE = 0.5
 #: Windows of the benchmark that go to the workers at once; larger benchmarks take several passes.
 WINDOWS_AT_ONCE = 1_000_000
 #: Words remembered by a worker.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres"
@@ -47,33 +47,38 @@ _PLACEHOLDERS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUM,
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], dtype=np.uint64)
 
 
-class Words:
-    """What words are on their own; kept by word, since most of a text repeats."""
+class Words(dict):
+    """What words are on their own: (hash as a literal, kind, 1 capitalised + 2 ends a sentence, value).
 
-    def __init__(self):
-        self._known: dict[str, tuple[int, int, int, str]] = {}
+    Kept by word, since most of a text repeats.
+    """
 
-    def __call__(self, word: str) -> tuple[int, int, int, str]:
-        """(hash as a literal, kind, 1 capitalised + 2 ends a sentence, value)."""
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) >= WORDS_KEPT:
-                self._known.clear()
-            found = self._known[word] = self._read(word)
+    def __missing__(self, word: str) -> tuple[int, int, int, str]:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = found = self._read(word)
         return found
 
     @staticmethod
     def _read(word: str) -> tuple[int, int, int, str]:
-        core = _EDGES.sub("", word) or word
+        if word.isalpha():
+            core = word
+        elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+            core = word[:-1]
+        else:
+            core = _EDGES.sub("", word) or word
         low = core.lower()
         flags = 2 * (word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", ";", "…"))
         kind = LITERAL
-        if _NUMBER.fullmatch(core) or low in NUMBER_WORDS:
+        if low in NUMBER_WORDS:
             kind = NUM
-        elif (m := _QUANTITY.fullmatch(core)) and m[2].lower() in UNITS:
-            kind = QUANTITY
         elif low in UNITS:
             kind = UNIT
+        elif not core.isalpha():
+            if _NUMBER.fullmatch(core):
+                kind = NUM
+            elif (m := _QUANTITY.fullmatch(core)) and m[2].lower() in UNITS:
+                kind = QUANTITY
         if core[:1].isupper() and core[1:] == core[1:].lower() and len(core) > 1:
             flags |= 1
         return xxhash.xxh3_64_intdigest(low), kind, flags, low
@@ -83,18 +88,17 @@ class Template:
     """The template tokens of one text: hashes, kinds and values."""
 
     def __init__(self, text: str | None, words: Words):
-        read = [words(w) for w in (text or "").split()]
+        read = list(map(words.__getitem__, (text or "").split()))
         n = len(read)
-        self.values = [r[3] for r in read]
-        self.kinds = np.fromiter((r[1] for r in read), dtype=np.int8, count=n)
-        flags = np.fromiter((r[2] for r in read), dtype=np.int8, count=n)
+        hashes, kinds, flags, self.values = zip(*read) if n else ((), (), (), ())
+        self.kinds, flags = np.array(kinds, dtype=np.int8), np.array(flags, dtype=np.int8)
+        self.hashes = np.array(hashes, dtype=np.uint64)
         starts = np.ones(n, dtype=bool)
         starts[1:] = flags[:-1] & 2 != 0
         self.kinds[(self.kinds == LITERAL) & (flags & 1 != 0) & ~starts] = NAME
         after_number = np.zeros(n, dtype=bool)
         after_number[1:] = self.kinds[:-1] == NUM
         self.kinds[(self.kinds == UNIT) & ~after_number] = LITERAL
-        self.hashes = np.fromiter((r[0] for r in read), dtype=np.uint64, count=n)
         for kind, code in _PLACEHOLDERS.items():
             self.hashes[self.kinds == kind] = code
 
