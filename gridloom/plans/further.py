@@ -31,6 +31,13 @@ def viewshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.viewshed(_headed(spark, sf_dir).select("idx", "x", "y", "heading"), grid(spark, sf_dir), 10, 0.5, 60.0, 20).select("idx", "bin_id").distinct()
 
 
+@named(SEEN.replace(" AND idx % 10 = 0", ""))
+def viewshed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The viewshed of every event with a heading; ``viewshed`` has the tenth that its SQL names."""
+    headed = trajectory.steps(samples(spark, sf_dir), SPAN).where("dt is not null").select("idx", "x", "y", "heading")
+    return visibility.viewshed(headed, grid(spark, sf_dir), 10, 0.5, 60.0, 20).select("idx", "bin_id")
+
+
 @named("""SELECT idx, bool_and(b.bin_id IS NOT NULL) AS clear FROM (
   SELECT idx, x + k.range / 19.0::DOUBLE * (100.0 - x) AS px, y + k.range / 19.0::DOUBLE * (50.0 - y) AS py FROM samples CROSS JOIN range(0, 20) k) p
   LEFT JOIN bins b ON px >= 0 AND px < 200 AND py >= 0 AND py < 100 AND b.cell = floor(px / 20.0)::BIGINT * 10 + floor(py / 10.0)::BIGINT GROUP BY idx""")
