@@ -104,7 +104,7 @@ def decoding_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named()
 def radon_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoding.radon_line(_post(spark, sf_dir).where("t_idx < 40"), 100, 21)
+    return decoding.radon_line(_post(spark, sf_dir), 100, 21)
 
 
 @named()

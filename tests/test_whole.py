@@ -1,6 +1,9 @@
 """Named queries that take all their rows."""
 
+from collections import Counter
+
 import __spark_entry__ as entry
+from gridloom.plans.activity import _post
 from gridloom.plans.catalog import samples
 
 DATA = "/root/testdata/sf0.001"
@@ -16,3 +19,17 @@ def test_viewshed_of_every_event(spark):
     counts = {b: sum((r.x // 20, r.y // 10) == b for r in rows) for b in bins}
     expected = {r.idx for r in rows if r.idx != last[r.session] and counts.get((r.x // 20, r.y // 10), 0) >= 3}
     assert found == expected and {i % 10 for i in found} == set(range(10))
+
+
+def test_radon_line_of_every_time_bin(spark):
+    found = entry.queries()["radon_line"](spark, DATA).collect()
+    post = _post(spark, DATA).collect()
+    score = Counter()
+    for r in post:
+        for k in range(21):
+            slope = -25.0 + k * 2.5
+            for near in (-1, 0, 1):
+                score[slope, round(r.bin_id - slope * r.t_idx) + near] += r.p
+    assert len(found) == 1 and {r.t_idx for r in post} == set(range(120))
+    assert abs(found[0].score - max(score.values())) < 1e-9
+    assert abs(score[found[0].slope, found[0].offset] - found[0].score) < 1e-9
