@@ -85,14 +85,15 @@ class Words(dict):
 
 
 class Template:
-    """The template tokens of one text: hashes, kinds and values."""
+    """The template tokens of one text: hashes, kinds and values; and the hashes of its words as they are."""
 
     def __init__(self, text: str | None, words: Words):
         read = list(map(words.__getitem__, (text or "").split()))
         n = len(read)
         hashes, kinds, flags, self.values = zip(*read) if n else ((), (), (), ())
         self.kinds, flags = np.array(kinds, dtype=np.int8), np.array(flags, dtype=np.int8)
-        self.hashes = np.array(hashes, dtype=np.uint64)
+        self.words = np.array(hashes, dtype=np.uint64)
+        self.hashes = self.words.copy()
         starts = np.ones(n, dtype=bool)
         starts[1:] = flags[:-1] & 2 != 0
         self.kinds[(self.kinds == LITERAL) & (flags & 1 != 0) & ~starts] = NAME
@@ -102,37 +103,70 @@ class Template:
         for kind, code in _PLACEHOLDERS.items():
             self.hashes[self.kinds == kind] = code
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the windows with enough literal words."""
+    def windows(self, size: int, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows with enough literal words; all windows of the words as they are if ``verbatim``.
+
+        A name in the first place counts as literal, as it may be the first word of an item.
+        """
         n = len(self.hashes) - size + 1
         if n <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        total, literal = np.full(n, size, dtype=np.uint64), np.zeros(n, dtype=np.int8)
+        hashes = self.words if verbatim else self.hashes
+        total = np.full(n, size, dtype=np.uint64)
         for k in range(size):
-            total += self.hashes[k : k + n] * _STEPS[k]
-            literal += self.kinds[k : k + n] == LITERAL
-        places = np.flatnonzero(literal >= min(MIN_LITERAL, size))
-        total = total[places]
+            total += hashes[k : k + n] * _STEPS[k]
+        places = np.arange(n)
+        if not verbatim:
+            literal = (self.kinds[:n] == NAME).astype(np.int8)
+            for k in range(size):
+                literal += self.kinds[k : k + n] == LITERAL
+            places = np.flatnonzero(literal >= min(MIN_LITERAL, size))
+            total = total[places]
         return places, (total ^ (total >> np.uint64(29))) * _STEPS[0]
 
+    def named_first(self, size: int) -> int:
+        """Hash of the first window where the first word counts as a name."""
+        other = Template(None, Words())
+        other.hashes, other.kinds = self.hashes[:size].copy(), self.kinds[:size].copy()
+        other.hashes[0], other.kinds[0] = _PLACEHOLDERS[NAME], NAME
+        return int(other.windows(size)[1][0])
+
 
 class Index:
     """Windows of a block of benchmark items, to find them in documents."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]]):
         words = Words()
-        self.items: list[tuple[object, Template, int, int]] = []  # id, template, window size, windows
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.items: list[tuple[object, Template, int, tuple[int, int]]] = []  # id, template, window size, windows (template, verbatim)
+        places: dict[tuple[bool, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             template = Template(text, words)
-            size = min(WINDOW, len(template.hashes))
-            at, hashes = template.windows(size) if size else ((), ())
-            if len(at):
-                for p, h in zip(at.tolist(), hashes.tolist()):
-                    places[size][h].append((len(self.items), p))
-                self.items.append((item_id, template, size, len(at)))
-        self.places = {size: dict(x) for size, x in places.items()}
-        self._filters = {size: self._filter(np.array(list(x), dtype=np.uint64)) for size, x in self.places.items()}
+            n = len(template.hashes)
+            size = min(WINDOW, n)
+            if not size:
+                continue
+            item = len(self.items)
+            at, hashes = self._item_windows(template, size)
+            for p, h in zip(at.tolist(), hashes.tolist()):
+                places[False, size][h].append((item, p))
+            if len(at) and at[0] == 0 and template.kinds[0] == LITERAL:
+                places[False, size][template.named_first(size)].append((item, 0))
+            verbatim = 0
+            if n <= WINDOW or 2 * len(at) < n - size + 1:
+                verbatim = n - size + 1
+                for p, h in zip(*(x.tolist() for x in template.windows(size, True))):
+                    places[True, size][h].append((item, p))
+            self.items.append((item_id, template, size, (len(at), verbatim)))
+        self.places = {key: dict(x) for key, x in places.items()}
+        self._filters = {key: self._filter(np.array(list(x), dtype=np.uint64)) for key, x in self.places.items()}
+
+    @staticmethod
+    def _item_windows(template: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of an item, in which names do not count as literal."""
+        at, hashes = template.windows(size)
+        literal = np.array([np.count_nonzero(template.kinds[p : p + size] == LITERAL) for p in at.tolist()], dtype=np.int64)
+        enough = literal >= min(MIN_LITERAL, size)
+        return at[enough], hashes[enough]
 
     @staticmethod
     def _filter(hashes: np.ndarray) -> np.ndarray:
@@ -145,22 +179,25 @@ class Index:
         if not text:
             return []
         doc = Template(text, words)
-        matches: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size, known in self.places.items():
-            at, hashes = doc.windows(size)
-            seen = self._filters[size]
+        matches: dict[tuple[int, bool], list[tuple[int, int]]] = defaultdict(list)
+        for (verbatim, size), known in self.places.items():
+            at, hashes = doc.windows(size, verbatim)
+            seen = self._filters[verbatim, size]
             for k in np.flatnonzero(seen[hashes & np.uint64(len(seen) - 1)]).tolist():
                 for item, p in known.get(int(hashes[k]), ()):
-                    matches[item].append((int(at[k]), p))
-        found = []
-        for item, pairs in sorted(matches.items()):
-            _, template, size, n_windows = self.items[item]
+                    template = self.items[item][1]
+                    if p or template.kinds[0] != LITERAL or template.values[0] == doc.values[at[k]]:
+                        matches[item, verbatim].append((int(at[k]), p))
+        found: dict[int, tuple[int, int, float, int, int]] = {}
+        for (item, verbatim), pairs in sorted(matches.items()):
+            _, template, size, counts = self.items[item]
+            n_windows = counts[verbatim]
             if len({p for _, p in pairs}) < COVERAGE * n_windows:
                 continue
             best = max(self._judge(run, doc, template, size) for run in self._runs(pairs, len(template.hashes)))
-            if best[0] >= COVERAGE * n_windows:
-                found.append((item, best[0], best[0] / n_windows, best[1], best[2]))
-        return found
+            if best[0] >= COVERAGE * n_windows and (item not in found or best[0] / n_windows > found[item][2]):
+                found[item] = (item, best[0], best[0] / n_windows, best[1], best[2])
+        return [found[item] for item in sorted(found)]
 
     @staticmethod
     def _runs(pairs: list[tuple[int, int]], length: int) -> Iterator[list[tuple[int, int]]]:
@@ -214,7 +251,9 @@ def find_leaks(
     Columns: the ids, n_windows (the item's windows found with agreeing slots), coverage
     (their share), n_slots and n_changed (slot values, and those that differ from the
     item's).  Clean documents give no row, nor do null or empty texts and items; an item
-    of fewer words than a window is one window.  Repeated rows each give their rows.
+    of fewer words than a window is one window.  Items that short, and those of whose windows
+    fewer than half have enough literal words, are also looked for word for word; then
+    n_windows counts windows of words.  Repeated rows each give their rows.
     """
     spark = docs.sparkSession
     types = [x.schema[c].dataType.simpleString() for x, c in ((docs, id_col), (benchmark, item_col))]

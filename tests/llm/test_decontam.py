@@ -61,3 +61,11 @@ def test_blocks_of_the_benchmark_and_odd_rows(spark, odd, empty, monkeypatch):
     assert kept.columns == odd.columns and kept.count() == odd.count() and decontam.drop_leaks(empty, bench).collect() == []
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(99, "clean text", 1)], "doc_id long, text string, item_id int")
     assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [99]
+
+
+def test_items_without_literal_windows(spark):
+    texts = ["Who wrote Hamlet?", "12 + 34 = 46", "Is Mount Kilimanjaro in Tanzania, Kenya or Uganda?", "Give 5 apples and 7", "42"]
+    items = list(enumerate(texts))
+    docs = [f"some words and then {x} and other words after it" for x in texts]
+    docs += ["some words and then Give 6 apples and 8 of them", "Who wrote Macbeth?", "12 + 35 = 47", "some words and then Take 5 apples and 7 of them"]
+    assert leaks(spark, docs, items).keys() == {*((k, k) for k in range(5)), (5, 3)}
