@@ -52,6 +52,9 @@ _DROPPED = frozenset(
     "head script style noscript template nav footer aside form iframe object embed applet svg math canvas audio video map select"
     " button textarea input label fieldset dialog menu noembed noframes search".split()
 )
+#: Of these, elements that stay where they hold the article; so do those that class, id or role name.
+_MAY_HOLD = frozenset("nav header footer aside form fieldset dialog menu search".split())
+#: Whole words of a class or id, or the first part of a compound one.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay"
     " sidebar menu navbar nav navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply replies"
@@ -68,9 +71,13 @@ class _Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["body"], [-1], [False]
+        #: Whether a node is boilerplate by its name or attributes, unless it holds the article.
+        self.named = [False]
         #: (node, text) in page order; None as text ends a block there, " " parts words.
         self.parts: list[tuple[int, str | None]] = []
         self._read(source)
+        if any(self.named):
+            self._drop_named()
 
     def _read(self, source: str) -> None:
         stack, at = [0], 0
@@ -122,10 +129,13 @@ class _Page:
             if name != "head" and tags[stack[-1]] == "head":
                 self._close(stack, len(stack) - 1)
         parent, node = stack[-1], len(tags)
-        drop = self.dropped[parent] or name in _DROPPED or name == "header" and not self._inside(stack, ("article", "main"))
+        hidden = named = False
+        if attributes and name not in _NEVER:
+            hidden, named = self._boilerplate(attributes)
         tags.append(name)
         self.parents.append(parent)
-        self.dropped.append(drop or bool(attributes) and name not in _NEVER and self._boilerplate(attributes))
+        self.dropped.append(self.dropped[parent] or hidden or name in _DROPPED and name not in _MAY_HOLD)
+        self.named.append(named or (not self._inside(stack, ("article", "main")) if name == "header" else name in _MAY_HOLD))
         if name in _CELLS or name == "br":
             self.parts.append((node, " "))
         elif name in _BLOCKS:
@@ -138,18 +148,46 @@ class _Page:
         return any(self.tags[i] in names for i in stack)
 
     @staticmethod
-    def _boilerplate(attributes: str) -> bool:
+    def _boilerplate(attributes: str) -> tuple[bool, bool]:
+        """Whether attributes hide an element, and whether they name it boilerplate."""
+        named = False
         for m in _ATTRIBUTE.finditer(attributes):
             if m[5]:
-                return True
+                return True, named
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id") and not _NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
-            if key == "role" and value in _ROLES or key == "aria-hidden" and value == "true":
-                return True
+            if key in ("class", "id") and any(re.split(r"[^a-z]", w, maxsplit=1)[0] in _NAMES for w in value.split()):
+                named = True
+            if key == "role" and value in _ROLES:
+                named = True
+            if key == "aria-hidden" and value == "true":
+                return True, named
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return True, named
+        return False, named
+
+    def _drop_named(self) -> None:
+        """Drop what is named boilerplate, but for elements around the article, or around most unlinked text where none is marked up."""
+        n = len(self.tags)
+        chars, in_link = [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tags[i] == "a" or in_link[self.parents[i]]
+        for node, text in self.parts:
+            if text and not in_link[node] and not self.dropped[node]:
+                chars[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+        core = {tag: max((i for i in range(n) if self.tags[i] == tag), key=chars.__getitem__, default=0) for tag in ("main", "article")}
+        cores = [i for i in core.values() if i and chars[i]]
+        if len(cores) == 2 and 2 * chars[core["article"]] < chars[core["main"]]:
+            cores = [core["main"]]
+        around = set()
+        for i in cores:
+            while i > 0:
+                around.add(i)
+                i = self.parents[i]
+        for i in range(1, n):
+            holds = i in around if cores else 2 * chars[i] > chars[0]
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or self.named[i] and not holds
 
     def _end(self, stack: list[int], name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):

@@ -69,3 +69,13 @@ def test_trie_precedence():
     assert trie.match("z.a.b", "/xq") == ("a.b/x", "allow")
     assert trie.match("a.b", "/x/yy/z") == ("a.b/x/y", "block")
     assert trie.match("a.b", "") == ("b", "block") and trie.match("c", "/") == ("c/", "block") and trie.match("d", "/") is None
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content with-sidebar'>{}</div>", "<div id='page-header-wrap'><article>{}</article></div>", "<div class='layout no-menu'>{}</div>",
+    "<form action=x><div class=sidebar>s</div><div>{}</div></form>", "<div class='menu wide'><main>{}</main></div>", "<div class=popup>{}</div>",
+    "<article><header class='entry-header'>{}</header></article>", "<article><div class='article-header'>{}</div></article>",
+])
+def test_names_do_not_drop_the_article(page):
+    body = "<h1>Head</h1>" + "".join(f"<p>{P * 3}{i}</p>" for i in range(4))
+    assert html_extract.main_text(page.format(body)).split("\n\n") == ["Head", *[f"{P * 3}{i}" for i in range(4)]]
