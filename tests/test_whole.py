@@ -3,6 +3,7 @@
 from collections import Counter
 
 import __spark_entry__ as entry
+import bench
 from gridloom.plans.activity import _post
 from gridloom.plans.catalog import samples
 
@@ -33,3 +34,7 @@ def test_radon_line_of_every_time_bin(spark):
     assert len(found) == 1 and {r.t_idx for r in post} == set(range(120))
     assert abs(found[0].score - max(score.values())) < 1e-9
     assert abs(score[found[0].slope, found[0].offset] - found[0].score) < 1e-9
+
+
+def test_bench_times_every_text_query():
+    assert {n for n in entry.queries() if n.startswith("op") and n[2].isdigit()} | {"pipeline"} <= set(bench.HEADLINE)
