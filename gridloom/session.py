@@ -32,20 +32,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors share.
 
-    A folder is set only where the session names none, as in tests.
+    A local session that names none, as in tests, gets one; any other has to name one.
     """
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and found.isDefined():
+        return found.get()
     if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "gridloom-shared")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not found.isDefined():
+        context.setCheckpointDir(folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete ``path``, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables of one job in the shared folder; each can be dropped once nothing reads it.
+
+    A table that is written and read again cuts lineage as a checkpoint does, takes less
+    room, and has no files for empty partitions.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder = spark, scratch_path(spark, what)
+
+    def keep(self, name: str, data: DataFrame) -> DataFrame:
+        """``data`` as written under ``name`` and read again."""
+        data.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(data.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_path(self.spark, f"{self.folder}/{name}")
