@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import scratch_path
+from ..session import Scratch
 from .components import connected_components
 
 SHINGLE = 5
@@ -344,7 +344,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     texts = docs.where("id is not null").select("id", "text", _filter_place(F.col("id")).alias("at")).mapInArrow(pick, f"id {id_type}, text string")
-    texts = texts.repartition("id")
+    # A document with very many partners is a skewed side of these joins, which Spark can split.
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {id_type}, b {id_type}").distinct()
@@ -357,11 +357,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without words have 0 shingles and link with nothing, as do rows with a null id, whose
     component_id is null.  Rows with equal ids are one document that has all their texts.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets_path, groups_path = scratch_path(spark, "shingle-sets"), scratch_path(spark, "signature-groups")
-    _sets(rows).write.parquet(sets_path)
-    found = spark.read.parquet(sets_path)
+    found = scratch.keep("sets", _sets(rows))
     sets = found.where("signature is null").select("id", "n", "digest", "bits")
     often = found.where("signature is not null").groupBy("signature").agg(F.sum("times").alias("times"))
     # Bounded by MAX_FREQUENT, 12 bytes each.
@@ -371,35 +369,37 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     filled = sets.where("n > 0 and id is not null")
     classes = filled.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = scratch.keep("classes", classes)
     nodes = classes.select("node", "n", "bits")
     texts = rows.join(nodes.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "text")
     group = Window.partitionBy("signature", "salt")
     best = F.min_by("node", F.struct(-F.col("score"), F.col("node"))).over(group)
     groups = _signed(texts, frequent, times).withColumns({"size": F.count("*").over(group), "best": best, "top": F.max("score").over(group)})
-    groups.where("size > 1 or salt > 0").drop("score").write.parquet(groups_path)
-    groups = spark.read.parquet(groups_path)
+    groups = scratch.keep("groups", groups.where("size > 1 or salt > 0").drop("score"))
 
     # Each document with the best one of its groups; where a signature is salted, also its salts' best ones.
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = groups.select(F.col("best").alias("a"), F.col("node").alias("b"))
     heads = groups.where("salt > 0").select("signature", F.col("best").alias("b"), "top").distinct()
     heads = heads.join(heads.groupBy("signature").agg(F.min_by("b", F.struct(-F.col("top"), F.col("b"))).alias("a")), "signature").select("a", "b")
-    tried = _plausible(ordered(stars.union(heads)), nodes).checkpoint()
-    links = _verified(rows, tried).checkpoint()
-    component = connected_components(links)
+    tried = scratch.keep("tried", _plausible(ordered(stars.union(heads)), nodes))
+    links = scratch.keep("links", _verified(rows, tried))
+    component = scratch.keep("starred", connected_components(links))
 
     member = groups.select("signature", "node").join(component, "node", "left")
-    member = member.withColumn("component", F.coalesce("component", "node"))
+    member = scratch.keep("member", member.select("signature", "node", F.coalesce("component", "node").alias("component")))
+    scratch.drop("groups", "starred")
     mixed = member.groupBy("signature").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")).where("c < d")
-    member = member.join(mixed.select("signature", "size"), "signature")
+    member = member.join(scratch.keep("mixed", mixed.select("signature", "size")), "signature")
     small = member.where(F.col("size") <= SMALL_GROUP)
     side = lambda x: small.select("signature", F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     across = side("a").join(side("b"), "signature").where("a < b and c_a <> c_b").groupBy("a", "b").agg(F.count("*").alias("k"))
     large = member.where(F.col("size") > SMALL_GROUP).join(nodes, "node")
     # Linked documents that share a large group are found there; others share enough small ones.
     across = across.where(F.col("k") >= SHARED).select("a", "b")
-    rest = _plausible(across.union(_blockwise(large)).join(tried, ["a", "b"], "left_anti"), nodes).checkpoint()
-    more = _verified(rows, rest).checkpoint()
+    rest = scratch.keep("rest", _plausible(across.union(_blockwise(large)).join(tried, ["a", "b"], "left_anti"), nodes))
+    scratch.drop("member", "mixed", "tried")
+    more = scratch.keep("more", _verified(rows, rest))
 
     # An id with several texts is in several classes, and links them.
     owned = filled.join(classes.select("digest", "node"), "digest").select("id", "node").distinct()
@@ -407,13 +407,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component = connected_components(links.union(more).union(shared.select("a", F.col("node").alias("b"))))
 
     of_class = classes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("_class"))
+    of_class = scratch.keep("of-class", of_class)
+    scratch.drop("classes", "links", "rest", "more")
     own = F.when(F.col("n") > 0, F.coalesce("_class", "id")).otherwise(F.col("id"))
+    # A digest that very many rows share is a skewed side of this join, which Spark can split.
     placed = sets.join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), own))
     return placed.select("id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component; rows with a null id stay."""
+    """The rows of ``docs`` whose document is the first of its component.
+
+    Rows with a null id stay, as do repeated rows of a document that stays; an empty table
+    gives an empty one.  Columns and their names are those of ``docs``.
+    """
     found = link_documents(docs, id_col, text_col)
     gone = found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

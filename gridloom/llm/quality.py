@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import Scratch
 
 #: A word: characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,8 +28,10 @@ FUNCTION_WORDS = (
 ).split()
 #: Rounds of estimation; it ends sooner once nothing moves.
 ROUNDS = 200
-#: A rule is taken to vote bad on at most this share of good documents.
-MOST_WRONG = 0.004
+#: What is assumed of each rule before any document is seen, as (bad votes, votes): on good
+#: documents, where rules are written to be rarely wrong, and on bad ones. The counts of a
+#: corpus outweigh them.
+ASSUMED_GOOD, ASSUMED_BAD = (10.0, 2000.0), (2.0, 10.0)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,9 +118,10 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
     """Log odds of being good before any vote, and for each rule of its good and bad vote.
 
     ``patterns``: votes and how many documents cast them so, at most 3 ** rules rows.
-    Votes are taken to be independent within good and within bad documents.  To begin with, a
-    document with any bad vote is likely to be bad; that settles which class is the good one,
-    and lets kinds of bad documents that fail different rules start out in the same class.
+    Votes are taken to be independent within good and within bad documents.  How often a rule
+    votes bad in a class has a beta prior, ``ASSUMED_GOOD`` or ``ASSUMED_BAD``, and no bounds:
+    rules that are often wrong come out so.  To begin with, a document with any bad vote is
+    likely to be bad, which settles that the good class is the one with fewer bad votes.
     """
     if not patterns:
         return 0.0, []
@@ -127,7 +130,7 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
     prior, bad_if_good, bad_if_bad = 0.5, [0.5] * n_rules, [0.5] * n_rules  # P(bad vote | class), of those that vote
     for step in range(ROUNDS):
         good_mass = 0.0
-        sums = [[1e-9] * 4 for _ in range(n_rules)]  # good: votes, bad votes; bad: votes, bad votes
+        sums = [[*ASSUMED_GOOD, *ASSUMED_BAD] for _ in range(n_rules)]  # good: bad votes, votes; bad: bad votes, votes
         for votes, n in patterns:
             odds = math.log(prior / (1 - prior))
             for j, v in enumerate(votes):
@@ -141,15 +144,14 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
             good_mass += good
             for j, v in enumerate(votes):
                 if v:
-                    sums[j][0] += good
-                    sums[j][2] += n - good
+                    sums[j][1] += good
+                    sums[j][3] += n - good
                     if v < 0:
-                        sums[j][1] += good
-                        sums[j][3] += n - good
-        new_prior = min(0.999, max(0.5, good_mass / total))
-        new_good = [min(MOST_WRONG, max(1e-4, s[1] / s[0])) for s in sums]
-        new_bad = [min(0.99, max(2 * g, 1e-3, s[3] / s[2])) for s, g in zip(sums, new_good)]
-        moved = max([abs(new_prior - prior), *(abs(a - b) for a, b in zip(new_good + new_bad, bad_if_good + bad_if_bad))], default=0.0)
+                        sums[j][0] += good
+                        sums[j][2] += n - good
+        new_prior = (good_mass + 1) / (total + 2)
+        new_good, new_bad = [s[0] / s[1] for s in sums], [s[2] / s[3] for s in sums]
+        moved = max(abs(a - b) for a, b in zip([new_prior, *new_good, *new_bad], [prior, *bad_if_good, *bad_if_bad]))
         prior, bad_if_good, bad_if_bad = new_prior, new_good, new_bad
         if moved < 1e-9:
             break
@@ -157,40 +159,47 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]]) -> tuple[float, li
     return math.log(prior / (1 - prior)), weights
 
 
-def fit(measured: DataFrame) -> tuple[float, list[tuple[float, float]]]:
-    """``estimate`` over the vote patterns of all rows of ``measured``."""
-    votes = rules(F.col("_m"))
-    counted = measured.where(~base_failed(F.col("_m"))).groupBy(*[v.alias(k) for k, v in votes.items()]).agg(F.count("*").alias("n"))
+def votes_of(m: Column) -> Column:
+    """The votes of all rules, in their order; null for base_failed texts."""
+    return F.when(~base_failed(m), F.array(*rules(m).values()))
+
+
+def fit(voted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+    """``estimate`` over the vote patterns of all rows of ``voted`` (_votes)."""
     # At most 3 ** 9 rows, however many documents there are.
-    found = [(tuple(r[k] for k in votes), r["n"]) for r in counted.collect()]
-    return estimate(sorted(found))
+    counted = voted.where("_votes is not null").groupBy("_votes").agg(F.count("*").alias("n")).collect()
+    return estimate(sorted((tuple(r["_votes"]), r["n"]) for r in counted))
 
 
-def posterior(m: Column, model: tuple[float, list[tuple[float, float]]]) -> Column:
-    odds, weights = F.lit(model[0]), model[1]
-    for v, (good, bad) in zip(rules(m).values(), weights):
-        odds = odds + F.when(v > 0, F.lit(good)).when(v < 0, F.lit(bad)).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+def posterior(votes: Column, model: tuple[float, list[tuple[float, float]]]) -> Column:
+    """Probability of being good; null without votes."""
+    good, bad = (F.array(*[F.lit(w[k]) for w in model[1]]).cast("array<double>") for k in (0, 1))
+    points = F.transform(votes, lambda v, j: F.when(v > 0, F.get(good, j)).when(v < 0, F.get(bad, j)).otherwise(0.0))
+    return 1 / (1 + F.exp(-F.aggregate(points, F.lit(model[0]), lambda a, x: a + x)))
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row with its measures, base_failed, quality (posterior) and kept.
 
-    kept is false for base_failed rows, else whether the quality reaches ``threshold``.
-    Null and empty texts have no words and fail.  Every row gets a row, repeated ones too;
-    an empty table gives none.
+    kept is false for base_failed rows, whose quality is null, else whether the quality
+    reaches ``threshold``.  Null and empty texts have no words and fail.  Every row gets a
+    row, repeated ones too; an empty table gives none.  Other columns of ``docs`` are ignored,
+    whatever their names.
     """
-    shared_dir(docs.sparkSession)
-    measured = docs.select(F.col(id_col).alias("id"), measures(F.col(text_col)).alias("_m")).checkpoint()
-    model = fit(measured)
-    quality = posterior(F.col("_m"), model)
+    measured = docs.select(F.col(id_col).alias("_id"), measures(F.col(text_col)).alias("_m"))
+    measured = Scratch(docs.sparkSession, "quality").keep("measures", measured).withColumn("_votes", votes_of(F.col("_m")))
+    quality = posterior(F.col("_votes"), fit(measured))
     failed = base_failed(F.col("_m"))
-    return measured.select(F.col("id").alias(id_col), "_m.*", failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= threshold)).alias("kept"))
+    kept = F.coalesce(quality >= threshold, F.lit(False))
+    return measured.select(F.col("_id").alias(id_col), "_m.*", failed.alias("base_failed"), quality.alias("quality"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
-    shared_dir(docs.sparkSession)
-    model = fit(docs.select(measures(F.col(text_col)).alias("_m")).checkpoint())
-    good = lambda m: ~base_failed(m) & (posterior(m, model) >= threshold)
-    return docs.where(let(measures(F.col(text_col)), good))
+    """The rows of ``docs`` that ``judge`` keeps, with their columns.
+
+    Texts are measured once: rows are written with their votes, and read again once the
+    model is known.
+    """
+    measured = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), let(measures(docs[text_col]), votes_of).alias("_votes"))
+    voted = Scratch(docs.sparkSession, "quality").keep("voted", measured)
+    return voted.where(posterior(F.col("_votes"), fit(voted)) >= threshold).select("_row.*")
