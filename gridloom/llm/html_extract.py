@@ -54,12 +54,17 @@ _DROPPED = frozenset(
 )
 #: Of these, elements that stay where they hold the article; so do those that class, id or role name.
 _MAY_HOLD = frozenset("nav header footer aside form fieldset dialog menu search".split())
-#: Whole words of a class or id, or the first part of a compound one.
+#: Names of boilerplate: whole words of a class or id, or the first or last part of a compound one.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay"
-    " sidebar menu navbar nav navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply replies"
-    " share sharing social related recommended newsletter subscribe signup notice notices alert widget toolbar pagination pager login".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay"
+    " sidebar menu navbar nav navigation breadcrumb breadcrumbs masthead footer share sharing newsletter subscribe signup toolbar pagination pager login".split()
 )
+#: The same for what readers write.
+_READERS = frozenset("comment comments disqus respond reply replies discussion discussions".split())
+#: Names that articles' own parts have as well: in a compound name they count only where links abound.
+_DOUBTFUL = frozenset("promo promotion banner header social related recommended notice notices alert widget".split())
+#: With one of these a compound name tells about a layout and not what the element is.
+_STATES = frozenset("has with without no is show hide open closed on off enabled disabled wrap wrapper layout container".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NEVER = frozenset(("html", "body", "main", "article"))
 #: Elements nest up to this depth, as in browsers; deeper ones are siblings.
@@ -71,8 +76,8 @@ class _Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["body"], [-1], [False]
-        #: Whether a node is boilerplate by its name or attributes, unless it holds the article.
-        self.named = [False]
+        #: What a node's name or attributes tell: "" or one of the kinds of boilerplate that _drop_named weighs.
+        self.named = [""]
         #: (node, text) in page order; None as text ends a block there, " " parts words.
         self.parts: list[tuple[int, str | None]] = []
         self._read(source)
@@ -129,13 +134,14 @@ class _Page:
             if name != "head" and tags[stack[-1]] == "head":
                 self._close(stack, len(stack) - 1)
         parent, node = stack[-1], len(tags)
-        hidden = named = False
+        hidden, named = False, ""
         if attributes and name not in _NEVER:
             hidden, named = self._boilerplate(attributes)
         tags.append(name)
         self.parents.append(parent)
         self.dropped.append(self.dropped[parent] or hidden or name in _DROPPED and name not in _MAY_HOLD)
-        self.named.append(named or (not self._inside(stack, ("article", "main")) if name == "header" else name in _MAY_HOLD))
+        own = not self._inside(stack, ("article", "main")) if name == "header" else name in _MAY_HOLD
+        self.named.append(named or "named" * own)
         if name in _CELLS or name == "br":
             self.parts.append((node, " "))
         elif name in _BLOCKS:
@@ -148,17 +154,29 @@ class _Page:
         return any(self.tags[i] in names for i in stack)
 
     @staticmethod
-    def _boilerplate(attributes: str) -> tuple[bool, bool]:
-        """Whether attributes hide an element, and whether they name it boilerplate."""
-        named = False
+    def _kind(word: str) -> str:
+        """What a word of a class or id tells of its element."""
+        parts = [x for x in re.split(r"[^a-z]+", word) if x]
+        ends = {parts[0], parts[-1]} if parts else set()
+        if len(parts) > 1 and ends & _STATES:
+            return "holder" if ends & (_NAMES | _READERS | _DOUBTFUL) else ""
+        for names, kind in ((_READERS, "readers"), (_NAMES, "named"), (_DOUBTFUL, "named" if len(parts) == 1 else "doubtful")):
+            if ends & names:
+                return kind
+        return ""
+
+    @classmethod
+    def _boilerplate(cls, attributes: str) -> tuple[bool, str]:
+        """Whether attributes hide an element, and what kind of boilerplate they name it."""
+        named = ""
         for m in _ATTRIBUTE.finditer(attributes):
             if m[5]:
                 return True, named
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id") and any(re.split(r"[^a-z]", w, maxsplit=1)[0] in _NAMES for w in value.split()):
-                named = True
+            if key in ("class", "id"):
+                named = max([named, *map(cls._kind, value.split())], key=("", "holder", "doubtful", "named", "readers").index)
             if key == "role" and value in _ROLES:
-                named = True
+                named = named if named == "readers" else "named"
             if key == "aria-hidden" and value == "true":
                 return True, named
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -166,16 +184,22 @@ class _Page:
         return False, named
 
     def _drop_named(self) -> None:
-        """Drop what is named boilerplate, but for elements around the article, or around most unlinked text where none is marked up."""
+        """Drop what is named boilerplate, unless it holds the article.
+
+        Where markup names the article, elements around it stay; elsewhere those that hold most
+        unlinked text, and readers' words only where hardly any text is outside of them.
+        Doubtful names drop elements with links in at least a quarter of their text.
+        """
         n = len(self.tags)
-        chars, in_link = [0] * n, [False] * n
+        chars, linked, in_link = [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             in_link[i] = self.tags[i] == "a" or in_link[self.parents[i]]
         for node, text in self.parts:
-            if text and not in_link[node] and not self.dropped[node]:
-                chars[node] += len("".join(text.split()))
+            if text and not self.dropped[node]:
+                (linked if in_link[node] else chars)[node] += len("".join(text.split()))
         for i in range(n - 1, 0, -1):
             chars[self.parents[i]] += chars[i]
+            linked[self.parents[i]] += linked[i]
         core = {tag: max((i for i in range(n) if self.tags[i] == tag), key=chars.__getitem__, default=0) for tag in ("main", "article")}
         cores = [i for i in core.values() if i and chars[i]]
         if len(cores) == 2 and 2 * chars[core["article"]] < chars[core["main"]]:
@@ -186,8 +210,14 @@ class _Page:
                 around.add(i)
                 i = self.parents[i]
         for i in range(1, n):
-            holds = i in around if cores else 2 * chars[i] > chars[0]
-            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or self.named[i] and not holds
+            kind = self.named[i]
+            if kind == "holder" or kind == "doubtful" and 3 * linked[i] < chars[i]:
+                kind = ""
+            if cores:
+                holds = i in around
+            else:
+                holds = 10 * chars[i] > 9 * chars[0] if kind == "readers" else 2 * chars[i] > chars[0]
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or bool(kind) and not holds
 
     def _end(self, stack: list[int], name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):

@@ -79,3 +79,45 @@ def test_trie_precedence():
 def test_names_do_not_drop_the_article(page):
     body = "<h1>Head</h1>" + "".join(f"<p>{P * 3}{i}</p>" for i in range(4))
     assert html_extract.main_text(page.format(body)).split("\n\n") == ["Head", *[f"{P * 3}{i}" for i in range(4)]]
+
+
+ARTICLE = "<h1>Head</h1>" + "".join(f"<p>{P * 3}{i}</p>" for i in range(4))
+ARTICLE_TEXT = ["Head", *[f"{P * 3}{i}" for i in range(4)]]
+LINKS = "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(8))
+
+
+@pytest.mark.parametrize("around", [
+    "page has-sidebar", "layout-with-sidebar", "single-post comments-open", "entry social-science", "header-wrap content", "related-work", "sidebar-layout",
+    "no-menu", "comments-open", "ad-off", "banner-container", "show-nav", "content", "widget-wrapper", "post footer-on",
+])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_layouts_keep_their_text(around, tag):
+    """Hand-labelled: what stands around the text and beside it, in wrappers with such names."""
+    page = f"<body><nav><ul>{LINKS}</ul></nav><{tag} class='{around}'>{ARTICLE}</{tag}><footer>Imprint, contact and terms</footer></body>"
+    assert html_extract.main_text(page).split("\n\n") == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("beside", [
+    "<div class='user-discussion'><h3>2 comments</h3><p>Bob: {p}</p><p>Eve: {p}</p></div>", "<section id=comments><p>{p}</p></section>", "<div class='comment-list'><p>{p}</p></div>",
+    "<ol class='post-comments'><li>{p}</li></ol>", "<div class='cookie-banner'><p>{p}</p></div>", "<div class='share-buttons'><a href=1>Post it</a></div>",
+    "<aside><p>{p}</p></aside>", "<div class='left-sidebar'><p>{p}</p></div>", "<div class='related-posts'><ul>{links}</ul></div>", "<form><label>Mail</label><p>{p}</p></form>",
+    "<div class='newsletter-box'><p>{p}</p></div>", "<div role=navigation><ul>{links}</ul></div>", "<div class=notice>{p}</div>", "<div class='top-ad'>{p}</div>",
+])
+@pytest.mark.parametrize("holder", ["<article>{}{}</article>", "<main>{}{}</main>", "<div class=post>{}{}</div>", "<div class=post>{}</div>{}"])
+def test_what_is_beside_the_text_goes(beside, holder):
+    assert html_extract.main_text("<body>" + holder.format(ARTICLE, beside.format(p=P, links=LINKS)) + "</body>").split("\n\n") == ARTICLE_TEXT
+
+
+def test_parts_of_articles_stay():
+    inside = "<section class='related-work'><p>" + P + "</p></section><div class='alert-systems'><p>" + P + "</p></div>"
+    assert html_extract.main_text(f"<article>{ARTICLE}{inside}</article>").split("\n\n") == [*ARTICLE_TEXT, P.strip(), P.strip()]
+
+
+def test_several_articles_stay_in_order():
+    page = "<body><div class=list>" + "".join(f"<article><h2>Head {k}</h2><p>{P * 3}</p></article>" for k in range(3)) + f"</div><aside>{P}</aside></body>"
+    assert html_extract.main_text(page).split("\n\n") == [x for k in range(3) for x in (f"Head {k}", (P * 3).strip())]
+
+
+def test_comments_longer_than_the_text_go():
+    page = f"<body><div class=post>{ARTICLE}</div><div id=comments>" + f"<p>{P * 4}</p>" * 6 + "</div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ARTICLE_TEXT
