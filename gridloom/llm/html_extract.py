@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -331,15 +333,16 @@ def main_text(source: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each page in ``out_col``, from its whole HTML.
 
-    Null and empty HTML give an empty text.  All rows stay, as do all columns but the HTML
-    and one named ``out_col``.
+    Null and empty HTML give an empty text.  All rows stay, repeated ones too, as do all
+    columns, of whatever names, but the HTML and one named ``out_col``.
     """
-    keep = [c for c in pages.columns if c not in (html_col, out_col)]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields]
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in (html_col, out_col)])
+    rows = pages.select(row.alias("_row"), F.col(html_col).alias("_html"))
+    schema = T.StructType([rows.schema["_row"]]).add("_text", "string")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, out_col])
+            texts = [main_text(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return pages.select(*keep, pages[html_col].alias("_html")).mapInArrow(extract, ", ".join([*fields, f"`{out_col}` string"]))
+    return rows.mapInArrow(extract, schema).select("_row.*", F.col("_text").alias(out_col))

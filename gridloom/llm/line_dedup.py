@@ -16,6 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import Scratch
 
 #: Bits of each filter; the second one goes to every worker, so this bounds the broadcast.
 FILTER_BITS = 1 << 28
@@ -114,7 +117,8 @@ def seen_twice(docs: DataFrame, min_chars: int, filter_bits: int, text_col: str
 def repeated_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = FILTER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key hash of two bigints, id): the documents that lose the lines of a key.
 
-    These are all that hold the key but the one with the smallest id.
+    These are all that hold the key but the one with the smallest id.  A null id comes after
+    all others; null and empty texts hold no key, and an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     twice = spark.sparkContext.broadcast(seen_twice(docs, min_chars, filter_bits, text_col))
@@ -133,16 +137,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = FILT
             ids = batch.column(0).take(pa.array(np.array(owners, dtype=np.int64)[found]))
             yield pa.RecordBatch.from_arrays([pa.array(wide[:, 0].copy()), pa.array(wide[:, 1].copy()), ids], names=["k1", "k2", "id"])
 
+    scratch = Scratch(spark, "line-dedup")
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(suspects, f"k1 bigint, k2 bigint, id {id_type}")
+    held = scratch.keep("held", held)
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))  # null ids come last
     firsts = held.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last")
-    losing = held.join(firsts, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first.id")))
+    # Written before it is joined, so that a line of very many documents is a skewed side which Spark can split.
+    losing = held.join(scratch.keep("firsts", firsts), ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first.id")))
     return losing.select("k1", "k2", "id")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int = FILTER_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines whose key another document with a smaller id holds.
 
+    Columns of ``docs`` may have any names; n_lines and n_dropped are replaced.
+
     Keys of at least ``min_chars`` code points count.  A document that holds a key first
     keeps all its lines of it.  Adds n_lines (before dropping) and n_dropped; the rest of
     the lines are joined by ``\\n``.  Null text becomes one empty line.  Rows with equal ids
@@ -150,14 +159,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int =
     """
     losing = repeated_lines(docs, min_chars, filter_bits, id_col, text_col)
     lost = losing.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("_lost"))
-    keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    names = [*keep, text_col, "n_lines", "n_dropped"]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_own"))
+    schema = T.StructType([rows.schema["_row"]]).add("_text", "string").add("_n_lines", "long").add("_n_dropped", "long")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, lost in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            for text, lost in zip(batch.column(1), batch.column(2)):
                 lines = (text.as_py() or "").split("\n")
                 n_lines.append(len(lines))
                 if lost.is_valid:
@@ -166,8 +175,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, filter_bits: int =
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append("\n".join(lines))
             added = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *added], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *added], names=schema.names)
 
-    joined = docs.select(*keep, F.col(text_col).alias("_text"), F.col(id_col).alias("_own")).join(lost, F.col("_own").eqNullSafe(F.col("_id")), "left")
-    schema = ", ".join([*fields, f"`{text_col}` string, n_lines bigint, n_dropped bigint"])
-    return joined.select(*keep, "_text", "_lost").mapInArrow(rebuild, schema)
+    joined = rows.join(lost, F.col("_own").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_lost")
+    kept = joined.mapInArrow(rebuild, schema)
+    return kept.select("_row.*", F.col("_text").alias(text_col), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))

@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .tokenizing import encoder, tokenizer_version
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens bigint"
@@ -50,12 +51,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col
     # sends one row from each task.
     distinct = docs.select(digest.alias("digest"), content.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
+    known_before = not known.isEmpty()
     counted = distinct.join(known, "digest", "left_anti").mapInArrow(encode, "digest string, n_tokens bigint")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
 
-    # Runs that overlap may have stored a digest twice.
+    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out_col])
+    # Runs that overlap may have stored a digest twice.  The counts of these texts are written,
+    # so that a text with very many copies is a skewed side of the join, which Spark can split.
     stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    counts = stored.groupBy(F.col("digest").alias("_digest")).agg(F.max("n_tokens").alias("_n_tokens"))
-    keep = [c for c in docs.columns if c != out_col]
-    joined = docs.select(*keep, digest.alias("_digest")).join(counts, "_digest", "left")
-    return joined.select(*keep, F.col("_n_tokens").alias(out_col))
+    counts = stored.groupBy("digest").agg(F.max("n_tokens").alias("_n_tokens"))
+    if known_before:
+        counts = counts.join(docs.select(digest.alias("digest")).distinct(), "digest", "left_semi")
+    counts = Scratch(spark, "token-counts").keep("counts", counts)
+    joined = docs.select(keep.alias("_row"), digest.alias("digest")).join(counts, "digest", "left")
+    return joined.select("_row.*", F.col("_n_tokens").alias(out_col))

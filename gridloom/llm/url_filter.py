@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rules that a trie may hold. It goes to every worker, so its size must have a bound.
 MAX_RULES = 1_000_000
@@ -97,19 +99,20 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str
     spark = pages.sparkSession
     trie = spark.sparkContext.broadcast(UrlTrie(rules))
     added = ["host", "path", "rule", "verdict"]
-    keep = [c for c in pages.columns if c not in added]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields] + [f"{c} string" for c in added])
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in added])
+    rows = pages.select(row.alias("_row"), F.col(url_col).alias("_url"))
+    schema = T.StructType([rows.schema["_row"], *(T.StructField(f"_{c}", T.StringType()) for c in added)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = trie.value.match
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for url in batch.column(batch.num_columns - 1).to_pylist():
+            for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule, verdict = match(host, path) or (None, default)
                 for column, x in zip(out, (host, path, rule, verdict)):
                     column.append(x)
-            arrays = list(batch.columns[:-1]) + [pa.array(x, pa.string()) for x in out]
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + added)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in out)], names=schema.names)
 
-    return pages.select(*keep, pages[url_col].alias("_url")).mapInArrow(judge, schema)
+    judged = rows.mapInArrow(judge, schema)
+    return judged.select("_row.*", *[F.col(f"_{c}").alias(c) for c in added])
