@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row
 #: Template tokens in a window, and how many of them must be literal words.
 WINDOW = 5
 MIN_LITERAL = 3
-#: Share of an item's windows that a leak holds.
+#: Share of an item's windows that a leak holds, in one run or in several parts.
 COVERAGE = 0.5
 #: Windows of the benchmark that go to the workers at once; larger benchmarks take several passes.
 WINDOWS_AT_ONCE = 1_000_000
@@ -194,9 +194,11 @@ class Index:
             n_windows = counts[verbatim]
             if len({p for _, p in pairs}) < COVERAGE * n_windows:
                 continue
-            best = max(self._judge(run, doc, template, size) for run in self._runs(pairs, len(template.hashes)))
-            if best[0] >= COVERAGE * n_windows and (item not in found or best[0] / n_windows > found[item][2]):
-                found[item] = (item, best[0], best[0] / n_windows, best[1], best[2])
+            runs = [self._judge(run, doc, template, size) for run in self._runs(pairs, len(template.hashes))]
+            agreeing = len(set().union(*(windows for windows, _, _ in runs)))
+            if agreeing >= COVERAGE * n_windows and (item not in found or agreeing / n_windows > found[item][2]):
+                _, slots, changed = max(runs, key=lambda x: (len(x[0]), x[1], x[2]))
+                found[item] = (item, agreeing, agreeing / n_windows, slots, changed)
         return [found[item] for item in sorted(found)]
 
     @staticmethod
@@ -212,7 +214,7 @@ class Index:
         yield run
 
     @staticmethod
-    def _judge(run: list[tuple[int, int]], doc: Template, item: Template, size: int) -> tuple[int, int, int]:
+    def _judge(run: list[tuple[int, int]], doc: Template, item: Template, size: int) -> tuple[set[int], int, int]:
         """(windows of the item that agree on what its slots became, slots, changed slots)."""
         became: dict[tuple[int, str], Counter] = defaultdict(Counter)
         for d, p in run:
@@ -224,7 +226,7 @@ class Index:
             p for d, p in run
             if all(item.kinds[p + k] == LITERAL or usual[int(item.kinds[p + k]), item.values[p + k]] == doc.values[d + k] for k in range(size))
         }
-        return len(agreeing), len(usual), sum(value != slot[1] for slot, value in usual.items())
+        return agreeing, len(usual), sum(value != slot[1] for slot, value in usual.items())
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
@@ -248,9 +250,9 @@ def find_leaks(
 ) -> DataFrame:
     """A row for each document and benchmark item that it leaks.
 
-    Columns: the ids, n_windows (the item's windows found with agreeing slots), coverage
-    (their share), n_slots and n_changed (slot values, and those that differ from the
-    item's).  Clean documents give no row, nor do null or empty texts and items; an item
+    Columns: the ids, n_windows (the item's windows found with slots that agree in each part
+    of the document that holds some), coverage (their share), n_slots and n_changed (slot
+    values of the largest part, and those that differ from the item's).  Clean documents give no row, nor do null or empty texts and items; an item
     of fewer words than a window is one window.  Items that short, and those of whose windows
     fewer than half have enough literal words, are also looked for word for word; then
     n_windows counts windows of words.  Repeated rows each give their rows.
@@ -282,7 +284,11 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that leak no item of ``benchmark``, with their columns."""
+    """The rows of ``docs`` that leak no item of ``benchmark``, with their columns, of whatever names.
+
+    Null and empty texts leak nothing and stay, as do repeated rows of a clean text; without
+    items all rows stay, and an empty table gives an empty one.
+    """
     for index in _blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         place = docs.columns.index(text_col)

@@ -19,9 +19,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces an encoder remembers before it starts anew; bounds a worker's memory.
-PIECES_KEPT = 250_000
+PIECES_KEPT = 400_000
 #: New pieces encoded together.
-RUN = 1000
+RUN = 128
 #: Letters and digits below this are so in all versions of Unicode.
 _LATIN_END = "\u0250"
 _STOPS = (".", ",")
@@ -85,20 +85,23 @@ class TextEncoder:
 
     def _learn(self, wanted: set[str]) -> None:
         """Have the ids of all ``wanted`` pieces; None for those where a text can't be cut."""
-        if len(self._pieces) + len(wanted) > PIECES_KEPT:  # those in use are kept
-            self._pieces = {x: self._pieces[x] for x in wanted if x in self._pieces}
-        new = {x for x in wanted if x not in self._pieces}
+        new = wanted.difference(self._pieces)
+        if len(self._pieces) + len(new) > PIECES_KEPT:  # those in use are kept
+            self._pieces = {x: self._pieces[x] for x in wanted.difference(new)}
+        plain = set(filter(str.isalnum, new))  # most are words of letters alone
+        new -= plain
         # A line break between visible characters is a token of its own, as is a full stop
         # or comma after a letter: such pieces are made of others.
         broken = {x: tuple(x.split("\n")) for x in new if x.count("\n") == 1}
         broken = {x: (a, b) for x, (a, b) in broken.items() if a and b and all(map(_visible, (a[0], a[-1], b[0], b[-1])))}
         new.difference_update(broken)
-        new.update(a for a, _ in broken.values() if a not in self._pieces)
-        ending = [x for x in new if x[-1:] in _STOPS and x[-2:-1].isalnum() and x[-2] < _LATIN_END]
+        before = {a for a, _ in broken.values()}.difference(self._pieces)
+        ending = [x for y in (new, before) for x in y if x[-1:] in _STOPS and x[-2:-1].isalnum() and x[-2] < _LATIN_END]
+        new |= before
         new.difference_update(ending)
-        new.update(x[:-1] for x in ending if x[:-1] not in self._pieces)
-        plain = [x for x in new if x.isalnum() or x and _visible(x[0]) and _visible(x[-1]) or self._pieces.setdefault(x)]
-        self._together(plain, " ", self._pieces)
+        new.update({x[:-1] for x in ending}.difference(self._pieces))
+        plain.update(x for x in new if x.isalnum() or x and _visible(x[0]) and _visible(x[-1]) or self._pieces.setdefault(x))
+        self._together(list(plain), " ", self._pieces)
         if len(self._heads) > HEADS_KEPT:
             self._heads.clear()
         self._together([b for b in {b for _, b in broken.values()} if b not in self._heads], "\n", self._heads)
@@ -116,11 +119,15 @@ class TextEncoder:
         """
         runs = [texts[i : i + RUN] for i in range(0, len(texts), RUN)]
         lead = joint if joint == " " else ""
-        for run, ids in zip(runs, self._whole([lead + joint.join(run) for run in runs])):
+        joined = [lead + joint.join(run) for run in runs]
+        for run, text, ids in zip(runs, joined, self._whole(joined)):
             ends = np.cumsum(self._bytes[np.frombuffer(ids, dtype="<u4")])
-            wide = np.array([len(x) if x.isascii() else len(x.encode()) for x in run]) + 1
-            stops = np.cumsum(wide) - (joint != " ")
-            starts = stops - wide + (joint != " ")
+            # No text holds the joint, so each of its bytes parts two of them.
+            parted = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == ord(joint))
+            if lead:
+                starts, stops = parted, np.append(parted[1:], ends[-1])
+            else:
+                starts, stops = np.append(0, parted + 1), np.append(parted, ends[-1])
             first, last = (4 * np.searchsorted(ends, x, side="right") for x in (starts, stops))
             found.update(zip(run, map(ids.__getitem__, map(slice, first.tolist(), last.tolist()))))
 

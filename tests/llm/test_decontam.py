@@ -1,4 +1,5 @@
 import random
+import re
 
 from gridloom.llm import decontam
 
@@ -69,3 +70,61 @@ def test_items_without_literal_windows(spark):
     docs = [f"some words and then {x} and other words after it" for x in texts]
     docs += ["some words and then Give 6 apples and 8 of them", "Who wrote Macbeth?", "12 + 35 = 47", "some words and then Take 5 apples and 7 of them"]
     assert leaks(spark, docs, items).keys() == {*((k, k) for k in range(5)), (5, 3)}
+
+
+def test_an_item_in_two_parts(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(500)}" for _ in range(80)]
+    item = [(0, " ".join(words))]
+    parts = f"{' '.join(words[:28])} {filler(r, 200)} {' '.join(words[30:58])}"
+    found = leaks(spark, [parts, f"{' '.join(words[:28])} {filler(r, 200)}"], item)
+    assert found.keys() == {(0, 0)} and found[0, 0].n_windows == 48
+
+
+def plain_template(text):
+    """(token, value) of each word by the rules as README states them, read word by word."""
+    out, fresh, after = [], True, False
+    for word in (text or "").split():
+        core = re.sub(r"^[^\w$€£%+-]+|[^\w$€£%]+$", "", word) or word
+        low = core.lower()
+        number = low in decontam.NUMBER_WORDS or bool(re.fullmatch(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?[%$€£]?", core))
+        joined = re.fullmatch(r"([+-]?\d[\d.,]*)([^\W\d]+)", core)
+        if number:
+            kind = "NUM"
+        elif low in decontam.UNITS and after:
+            kind = "UNIT"
+        elif joined and joined[2].lower() in decontam.UNITS:
+            kind = "QUANTITY"
+        elif low not in decontam.UNITS and len(core) > 1 and core[0].isupper() and core[1:] == core[1:].lower() and not fresh:
+            kind = "NAME"
+        else:
+            kind = None
+        out.append((kind or low, low, kind))
+        fresh, after = word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:;…"), kind == "NUM"
+    return out
+
+
+def test_query_against_plain_windows(spark):
+    """Registered query: what two plain readings of windows bound from both sides.
+
+    All pairs with half of the item's windows found whatever the slots hold are an upper bound, and
+    those with half of its windows found word for word a lower one.
+    """
+    from gridloom.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    docs = {r.doc_id: plain_template(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    items = {r.item_id: plain_template(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    found = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, data).collect()}
+    grams = lambda t, at, k: {tuple(x[at] for x in t[i : i + k]) for i in range(len(t) - k + 1)}
+    upper, lower = set(), set()
+    for i, item in items.items():
+        k = min(decontam.WINDOW, len(item))
+        places = [p for p in range(len(item) - k + 1) if sum(x[2] is None for x in item[p : p + k]) >= min(decontam.MIN_LITERAL, k)]
+        for d, doc in docs.items():
+            masked, words = grams(doc, 0, k), grams(doc, 1, k)
+            if sum(tuple(x[0] for x in item[p : p + k]) in masked for p in places) >= decontam.COVERAGE * len(places) - 1:
+                upper.add((d, i))
+            if places and all(tuple(x[1] for x in item[p : p + k]) in words for p in range(len(item) - k + 1)):
+                lower.add((d, i))
+    assert lower <= found <= upper and lower

@@ -119,3 +119,39 @@ def test_components(spark):
 
 def test_empty(empty):
     assert ngram_join.link_documents(empty).collect() == [] and ngram_join.keep_one(empty).collect() == []
+
+
+def test_the_query_against_brute_force(spark):
+    """All pairs of documents whose sizes allow a link."""
+    from gridloom.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    sets = {i: shingles(t) for i, t in rows}
+    of_set = defaultdict(list)
+    for i, s in sets.items():
+        of_set[frozenset(s)].append(i)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(i, j):
+        x, y = find(i), find(j)
+        parent[max(x, y)] = min(x, y)
+
+    for same in of_set.values():
+        for j in same[1:] if sets[same[0]] else ():
+            join(same[0], j)
+    distinct = sorted(((len(s), same[0]) for s, same in of_set.items() if s), reverse=True)
+    for k, (n, i) in enumerate(distinct):
+        for m, j in distinct[k + 1 :]:
+            if 100 * m < 80 * n:
+                break
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (n + m - common):
+                join(i, j)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_ngram_join(spark, data).collect()}
+    assert found == {i: (len(s), find(i)) for i, s in sets.items()}
