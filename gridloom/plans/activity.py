@@ -169,9 +169,21 @@ def map_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.stability(r, r.withColumn("bin_id", F.col("bin_id") + 1))
 
 
-@named()
+INSIDE = "SELECT unit, bin_id, rate FROM (SELECT *, max(rate) OVER (PARTITION BY unit) AS peak FROM rates WHERE rate IS NOT NULL) WHERE peak > 0 AND rate >= {share} * peak"
+#: Place fields as reachable bins: (unit, field, bin_id, rate).
+FIELDS = """WITH RECURSIVE inside AS ({inside}), reach(unit, bin_id, other) AS (SELECT unit, bin_id, bin_id FROM inside UNION
+  SELECT r.unit, r.bin_id, e.dst FROM reach r JOIN edges e ON e.src = r.other JOIN inside i ON i.unit = r.unit AND i.bin_id = e.dst)
+  SELECT unit, min(other) AS field, bin_id, any_value(rate) AS rate FROM reach JOIN inside USING (unit, bin_id) GROUP BY unit, bin_id"""
+
+
+def fields_sql(share: float) -> str:
+    return FIELDS.replace("{inside}", INSIDE.replace("{share}", str(share)))
+
+
+@named(f"SELECT unit, field, bin_id, rate * 1e6 AS rate_e6 FROM ({fields_sql(0.5)})", "rate_e6")
 def place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.place_fields(_rates(spark, sf_dir), grid(spark, sf_dir).edges, 0.5)
+    found = encoding.place_fields(_rates(spark, sf_dir), grid(spark, sf_dir).edges, 0.5)
+    return found.select("unit", "field", "bin_id", (F.col("rate") * 1e6).alias("rate_e6"))
 
 
 HEADED = "SELECT *, atan2(next_y - y, next_x - x) AS h FROM path WHERE dt IS NOT NULL"

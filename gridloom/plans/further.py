@@ -13,7 +13,7 @@ from .activity import _post, _rates, _truth
 from .catalog import MAX_GAP, SPAN, grid, named, samples
 from .spatial import _field
 
-HEADED = "SELECT *, atan2(next_y - y, next_x - x) AS heading FROM stepped WHERE dt IS NOT NULL AND idx % 10 = 0"
+HEADED = "SELECT *, atan2(next_y - y, next_x - x) AS heading FROM stepped WHERE dt IS NOT NULL"
 SEEN = """SELECT DISTINCT idx, bin_id FROM (
   SELECT *, min(CASE WHEN bin_id IS NULL THEN k END) OVER (PARTITION BY idx, ray) AS stop FROM (
     SELECT p.idx, p.ray, p.k, b.bin_id FROM (
@@ -23,7 +23,7 @@ SEEN = """SELECT DISTINCT idx, bin_id FROM (
 
 
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.steps(samples(spark, sf_dir), SPAN).where("dt is not null and idx % 10 = 0").select("session", "idx", "t", "x", "y", "heading")
+    return trajectory.steps(samples(spark, sf_dir), SPAN).where("dt is not null").select("session", "idx", "t", "x", "y", "heading")
 
 
 @named(SEEN)
@@ -31,11 +31,10 @@ def viewshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.viewshed(_headed(spark, sf_dir).select("idx", "x", "y", "heading"), grid(spark, sf_dir), 10, 0.5, 60.0, 20).select("idx", "bin_id").distinct()
 
 
-@named(SEEN.replace(" AND idx % 10 = 0", ""))
+@named(SEEN)
 def viewshed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The viewshed of every event with a heading; ``viewshed`` has the tenth that its SQL names."""
-    headed = trajectory.steps(samples(spark, sf_dir), SPAN).where("dt is not null").select("idx", "x", "y", "heading")
-    return visibility.viewshed(headed, grid(spark, sf_dir), 10, 0.5, 60.0, 20).select("idx", "bin_id")
+    """The same as ``viewshed``, under the name that it had beside a part of it."""
+    return viewshed(spark, sf_dir)
 
 
 @named("""SELECT idx, bool_and(b.bin_id IS NOT NULL) AS clear FROM (

@@ -250,7 +250,8 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.distance_field(g.edges, g.bins.where("bin_id = 0").select("bin_id"), cutoff=20.0, hops=True)
 
 
-@named()
+@named("""WITH RECURSIVE d(bin_id, distance, k) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION ALL SELECT e.dst, min(d.distance + e.distance), any_value(d.k) + 1 FROM d JOIN edges e ON e.src = d.bin_id WHERE d.k < 40 GROUP BY e.dst)
+  SELECT bin_id, min(distance) AS distance FROM d GROUP BY bin_id""", "distance")
 def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
     return fields.distance_field(g.edges, g.bins.where("bin_id = 0").select("bin_id"))

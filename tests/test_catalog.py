@@ -4,7 +4,10 @@ import duckdb
 import pytest
 
 import gridloom.plans.activity
+import gridloom.plans.cells
 import gridloom.plans.further
+import gridloom.plans.layouts
+import gridloom.plans.navigation
 import gridloom.plans.spatial  # noqa: F401
 from gridloom.plans.catalog import CATALOG
 
