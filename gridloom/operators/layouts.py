@@ -78,6 +78,16 @@ def polygon_grid(spark: SparkSession, polygon: Sequence[tuple[float, float]], wi
     return _active(whole, whole.bins.where(inside), diagonal)
 
 
+def corridor_grid(spark: SparkSession, segments: DataFrame, corridor: float, width: tuple[float, float], diagonal: bool = True) -> Grid:
+    """A grid over a maze (segments): cells are active whose center is within half a ``corridor`` of one of them."""
+    r = segments.agg(*[f(F.least(f"{c}0", f"{c}1") if f is F.min else F.greatest(f"{c}0", f"{c}1")).alias(f"{c}_{f.__name__}") for c in "xy" for f in (F.min, F.max)]).first()
+    lo = tuple(r[f"{c}_min"] - corridor / 2 for c in "xy")
+    shape = tuple(max(1, math.ceil((r[f"{c}_max"] + corridor / 2 - a) / w - 1e-9)) for c, a, w in zip("xy", lo, width))
+    whole = regular_grid(spark, lo, width, shape)
+    near = to_linear(whole.bins, segments).where(F.col("offset") <= corridor / 2 + 1e-9)
+    return _active(whole, near.select(*whole.bins.columns), diagonal)
+
+
 def _active(whole: Grid, kept: DataFrame, diagonal: bool) -> Grid:
     bins = _numbered(kept, "cell").select("bin_id", "cell", "ix", "iy", "x", "y", "area")
     return whole._replace(bins=bins, edges=grid_edges(bins, diagonal))

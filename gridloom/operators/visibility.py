@@ -7,6 +7,8 @@ a ray ends at its first step outside.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,35 @@ def view_point(x: Column, y: Column, heading: Column, distance: float) -> tuple[
     return x + distance * F.cos(heading), y + distance * F.sin(heading)
 
 
+class FieldOfView(NamedTuple):
+    """How far to the left and right an animal sees, where both eyes do, and the blind sector behind; in radians."""
+
+    left: float
+    right: float
+    binocular: float
+    blind: float = 0.0
+
+    def sees(self, bearing: Column) -> Column:
+        return in_field_of_view(bearing, self.left, self.right, self.blind)
+
+    def both_eyes(self, bearing: Column) -> Column:
+        return self.sees(bearing) & (F.abs(angles.wrap(bearing)) <= self.binocular)
+
+
+def symmetric(half_angle: float, binocular: float = 0.0, blind: float = 0.0) -> FieldOfView:
+    return FieldOfView(half_angle, -half_angle, binocular, blind)
+
+
+#: Half the field, the binocular half-angle and the blind sector behind, in degrees.
+ANIMALS = {k: symmetric(*map(math.radians, v)) for k, v in {"rat": (160, 25, 20), "mouse": (155, 20, 25), "primate": (90, 60, 0)}.items()}
+
+
+def visible_share(seen: DataFrame, grid: Grid, by: Sequence[str]) -> DataFrame:
+    """(by, n, share): how many of all active bins each observer of a ``viewshed`` sees."""
+    n_bins = grid.bins.agg(F.count("*").alias("all"))
+    return seen.groupBy(*by).agg(F.countDistinct("bin_id").alias("n")).join(F.broadcast(n_bins)).select(*by, "n", (F.col("n") / F.col("all")).alias("share"))
+
+
 def in_field_of_view(bearing: Column, left: float, right: float, blind: float = 0.0) -> Column:
     """Whether a bearing (in [-pi, pi)) lies between ``right`` and ``left`` and not in the rear sector of half-width ``blind``."""
     b = angles.wrap(bearing)

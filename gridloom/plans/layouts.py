@@ -157,3 +157,21 @@ def polar_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx, dy = F.col("x") - 100.0, F.col("y") - 50.0
     d = d.withColumn("bin_id", layouts.polar_bin(F.sqrt(dx * dx + dy * dy), F.atan2(dy, dx), (0.0, 50.0, 5), 12))
     return d.where("bin_id >= 0").groupBy("bin_id").agg(F.sum("dt").alias("seconds"), F.count("*").alias("n"))
+
+
+@named(f"""WITH c AS (SELECT range AS cell, range // 9 AS ix, range % 9 AS iy, (range // 9 + 0.5) * 10.0 - 48.30127018922193 AS x, (range % 9 + 0.5) * 10.0 - 55.0 AS y FROM range(0, 90)),
+  s(dx, dy) AS (VALUES (cos(-{PI} / 2) * 50, sin(-{PI} / 2) * 50), (cos({PI} / 6) * 50, sin({PI} / 6) * 50), (cos(5 * {PI} / 6) * 50, sin(5 * {PI} / 6) * 50)),
+  o AS (SELECT cell, ix, iy, x, y, least(1.0, greatest(0.0, (x * dx + y * dy) / 2500)) AS u, dx, dy FROM c CROSS JOIN s)
+  SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, ix, iy FROM (SELECT cell, ix, iy, min(sqrt((u * dx - x) * (u * dx - x) + (u * dy - y) * (u * dy - y))) AS off FROM o GROUP BY ALL) WHERE off <= 5.0 + 1e-9""")
+def corridor_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of a Y maze with corridors 10 wide."""
+    return layouts.corridor_grid(spark, mazes.y_maze(spark, 50.0), 10.0, (10.0, 10.0)).bins.select("bin_id", "ix", "iy")
+
+
+@named("""WITH c AS (SELECT range AS cell, (range // 15 + 0.5) * 10.0 - 75 AS x, (range % 15 + 0.5) * 10.0 - 75 AS y FROM range(0, 225)), inside AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, x, y FROM c WHERE (
+    SELECT count_if(((y1 > y) <> (y2 > y)) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) FROM (SELECT 75 * cos(2 * pi() * range / 64) AS x1, 75 * sin(2 * pi() * range / 64) AS y1, 75 * cos(2 * pi() * (range + 1) / 64) AS x2, 75 * sin(2 * pi() * (range + 1) / 64) AS y2 FROM range(0, 64)) WHERE y1 <> y2) % 2 = 1)
+  SELECT bin_id, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN x > 0 THEN 'e' ELSE 'w' END AS half FROM inside""", "x y")
+def watermaze_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool, _ = mazes.watermaze()
+    bins = layouts.polygon_grid(spark, pool, (10.0, 10.0)).bins
+    return bins.select("bin_id", "x", "y", F.when(F.col("x") > 0, "e").otherwise("w").alias("half"))
