@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,41 +100,36 @@ def runs_between(samples: DataFrame, source: Column, target: Column, max_duratio
     return d.select("session", F.col("t").alias("start_t"), F.when(success, F.col("stop_t")).otherwise(F.col("t") + max_duration).alias("stop_t"), success.alias("success"))
 
 
-def trials(samples: DataFrame, start: Column, ends: dict[str, Column], min_duration: float, max_duration: float) -> DataFrame:
-    """(session, trial, start_t, stop_t, outcome) of a state machine over each session.
+def trials(samples: DataFrame, start: Column, ends: dict[str, Column], min_duration: float, max_duration: float, span: float | None = None) -> DataFrame:
+    """(session, trial, start_t, stop_t, outcome): a trial from each time that the start region is left.
 
-    A trial begins when the start region is left; it ends in the first end region entered,
-    is given up when the start region is entered again or after ``max_duration``, and counts
-    from ``min_duration`` on.  State runs over a session's region visits, which Spark groups
-    by session; rows that change nothing are dropped before.
+    It ends in the first end region that is entered from ``min_duration`` on; it is aborted
+    when the start region is entered again before that, and times out after ``max_duration``
+    if samples go on.  A trial whose end is not known gives no row.  Since a trial is over
+    when the next one begins, each is told by as-of joins alone.
     """
     which = F.when(start, F.lit("start"))
     for name, inside in ends.items():
         which = which.when(inside, F.lit(name))
     d = samples.select("session", "idx", "t", which.otherwise(F.lit("")).alias("region"))
-    d = ts.with_previous(d, KEYS, ORDER, ("region",)).where("prev_region is null or prev_region <> region").select("session", "idx", "t", "region")
-    end_names = frozenset(ends)
-    schema = f"session {samples.schema['session'].dataType.simpleString()}, trial long, start_t double, stop_t double, outcome string"
-
-    def run(visits: pd.DataFrame) -> pd.DataFrame:
-        out, begun, before = [], None, ""
-        for row in visits.sort_values(["t", "idx"]).itertuples():
-            if begun is not None and row.t - begun > max_duration:
-                out.append((begun, begun + max_duration, "timeout"))
-                begun = None
-            if before == "start" and row.region != "start":
-                begun = row.t
-            if row.region in end_names and begun is not None and row.t - begun >= min_duration:
-                out.append((begun, row.t, row.region))
-                begun = None
-            elif row.region == "start" and begun is not None:
-                out.append((begun, row.t, "aborted"))
-                begun = None
-            before = row.region
-        session = visits["session"].iloc[0]
-        return pd.DataFrame([(session, k, *x) for k, x in enumerate(out)], columns=["session", "trial", "start_t", "stop_t", "outcome"])
-
-    return d.groupBy("session").applyInPandas(run, schema)
+    d = ts.with_previous(d, KEYS, ORDER, ("region",), span).where("prev_region is null or prev_region <> region")
+    visits = d.select("session", "t", "region")
+    begun = d.where("prev_region = 'start'").select("session", "t", F.col("t").alias("start_t"))
+    back = visits.where("region = 'start'").select("session", "t", F.col("t").alias("back_t"))
+    ended = visits.where(F.col("region").isin(*ends)).select("session", "t", F.col("t").alias("end_t"), F.col("region").alias("end_region"))
+    known = ["session", "start_t", "back_t"]
+    d = ts.asof(begun, back, KEYS, "t", ("back_t",), "", backward=False, strict=True, span=span)
+    d = ts.asof(d.select(*known, (F.col("start_t") + min_duration).alias("t")), ended, KEYS, "t", ("end_t", "end_region"), "", backward=False, span=span)
+    later = visits.select("session", "t", F.col("t").alias("later_t"))
+    d = ts.asof(d.select(*known, "end_t", "end_region", (F.col("start_t") + max_duration).alias("t")), later, KEYS, "t", ("later_t",), "", backward=False, strict=True, span=span)
+    latest = F.col("start_t") + max_duration
+    arrived = (F.col("end_t") - F.col("start_t") <= max_duration) & (F.col("back_t").isNull() | (F.col("end_t") < F.col("back_t")))
+    end = F.when(arrived, F.struct(F.col("end_t").alias("t"), F.col("end_region").alias("o")))
+    end = end.when(F.col("back_t") - F.col("start_t") <= max_duration, F.struct(F.col("back_t").alias("t"), F.lit("aborted").alias("o")))
+    end = end.when(F.col("later_t").isNotNull(), F.struct(latest.alias("t"), F.lit("timeout").alias("o")))
+    d = d.withColumn("_end", end).where("_end is not null").select("session", "start_t", F.col("_end.t").alias("stop_t"), F.col("_end.o").alias("outcome"))
+    d = ts.running_sum(d, KEYS, ("start_t",), F.lit(1).cast("long"), "_n", span)
+    return d.select("session", (F.col("_n") - 1).alias("trial"), "start_t", "stop_t", "outcome")
 
 
 def path_progress(samples: DataFrame, from_start: Column, to_goal: Column) -> DataFrame:

@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import angles
+from ..session import Scratch
 from . import fields
 from . import timeseries as ts
 from .grid import Grid, bin_at
-from .trajectory import KEYS, fill_bins, intervals, occupancy
+from .trajectory import KEYS, fill_bins, intervals
 
 
-def place_spikes(spikes: DataFrame, samples: DataFrame, grid: Grid, max_gap: float | None = None, min_speed: float | None = None, span: float | None = None) -> DataFrame:
-    """``spikes`` with x, y and bin_id where they fell; those in intervals that don't count, or outside, are left out."""
-    told = intervals(samples, grid, max_gap, min_speed, span)
+def _spikes_in(spikes: DataFrame, told: DataFrame, grid: Grid, span: float | None) -> DataFrame:
     told = told.select("session", "t", "x", "y", "valid", "dt", "next_x", "next_y")
     d = ts.asof(spikes, told.withColumn("start_t", F.col("t")), KEYS, "t", ("start_t", "x", "y", "valid", "dt", "next_x", "next_y"), "", span=span)
     share = (F.col("t") - F.col("start_t")) / F.col("dt")
@@ -28,12 +27,21 @@ def place_spikes(spikes: DataFrame, samples: DataFrame, grid: Grid, max_gap: flo
     return bin_at(d.select(*spikes.columns, "x", "y"), grid).where("bin_id >= 0")
 
 
+def place_spikes(spikes: DataFrame, samples: DataFrame, grid: Grid, max_gap: float | None = None, min_speed: float | None = None, span: float | None = None) -> DataFrame:
+    """``spikes`` with x, y and bin_id where they fell; those in intervals that don't count, or outside, are left out."""
+    return _spikes_in(spikes, intervals(samples, grid, max_gap, min_speed, span), grid, span)
+
+
 def rate_map(spikes: DataFrame, samples: DataFrame, grid: Grid, max_gap: float | None = None, min_speed: float | None = None, min_occupancy: float = 0.0, span: float | None = None) -> DataFrame:
     """(unit, bin_id, n, seconds, rate) of every unit and active bin."""
-    counts = place_spikes(spikes, samples, grid, max_gap, min_speed, span).groupBy("unit", "bin_id").agg(F.count("*").alias("n"))
-    occupied = occupancy(samples, grid, max_gap, min_speed, span).select("bin_id", "seconds")
-    frame = occupied.crossJoin(F.broadcast(spikes.select("unit").distinct())) if grid.n_cells <= 1_000_000 else occupied.join(spikes.select("unit").distinct())
-    d = frame.join(counts, ["unit", "bin_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    told = intervals(samples, grid, max_gap, min_speed, span).select("session", "t", "x", "y", "valid", "dt", "next_x", "next_y", "bin_id")
+    # Written once, for the spikes and for the time.
+    told = Scratch(samples.sparkSession, "rate-map").keep("intervals", told)
+    counts = _spikes_in(spikes, told, grid, span).groupBy("unit", "bin_id").agg(F.count("*").alias("n"))
+    seconds = told.where("valid").groupBy("bin_id").agg(F.sum("dt").alias("seconds"))
+    occupied = fill_bins(grid, seconds, ("seconds",))
+    # Every unit has a row for every bin: that is the result.
+    d = occupied.crossJoin(spikes.select("unit").distinct()).join(counts, ["unit", "bin_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rate = F.when((F.col("seconds") > 0) & (F.col("seconds") >= min_occupancy), F.col("n") / F.col("seconds"))
     return d.select("unit", "bin_id", "n", "seconds", rate.alias("rate"))
 

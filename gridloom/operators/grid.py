@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import binning, geometry
+from ..session import Scratch
 
 #: Bins up to which their table goes to every task.
 BROADCAST_BINS = 1_000_000
@@ -86,6 +87,9 @@ def regular_grid(
         cells = cells.join(seen.where(F.col("count") >= min_count).select("cell"), "cell", "left_semi")
     bins = cells.withColumn("bin_id", F.row_number().over(Window.orderBy("cell")) - 1)
     bins = bins.select(F.col("bin_id").cast("long"), "cell", "ix", "iy", "x", "y", "area")
+    if samples is not None:
+        # Written once: every use of the bins would scan all samples anew.
+        bins = Scratch(spark, "bins").keep("bins", bins)
     return place._replace(bins=bins, edges=grid_edges(bins, diagonal))
 
 

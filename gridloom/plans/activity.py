@@ -440,9 +440,15 @@ def speed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.slow_fast_segments(samples(spark, sf_dir), 0.0005, 0.002, SPAN)
 
 
-@named()
+@named("""WITH r AS (SELECT session, idx, t, CASE WHEN x < 20 THEN 'start' WHEN y < 30 THEN 'left' WHEN y > 70 THEN 'right' ELSE '' END AS region FROM samples),
+  v AS (SELECT * FROM (SELECT *, lag(region) OVER (PARTITION BY session ORDER BY t, idx) AS before FROM r) WHERE before IS NULL OR before <> region), x AS (SELECT session, t AS b FROM v WHERE before = 'start'),
+  f AS (SELECT session, b, (SELECT min(t) FROM v WHERE v.session = x.session AND region = 'start' AND t > b) AS s, (SELECT min(t) FROM v WHERE v.session = x.session AND region IN ('left', 'right') AND t >= b) AS e,
+    (SELECT arg_min(region, t) FROM v WHERE v.session = x.session AND region IN ('left', 'right') AND t >= b) AS er, (SELECT min(t) FROM v WHERE v.session = x.session AND t > b + 432000.0) AS l FROM x),
+  o AS (SELECT session, b AS start_t, CASE WHEN e - b <= 432000.0 AND (s IS NULL OR e < s) THEN e WHEN s - b <= 432000.0 THEN s WHEN l IS NOT NULL THEN b + 432000.0 END AS stop_t,
+    CASE WHEN e - b <= 432000.0 AND (s IS NULL OR e < s) THEN er WHEN s - b <= 432000.0 THEN 'aborted' WHEN l IS NOT NULL THEN 'timeout' END AS outcome FROM f)
+  SELECT session, row_number() OVER (PARTITION BY session ORDER BY start_t) - 1 AS trial, start_t, stop_t, outcome FROM o WHERE stop_t IS NOT NULL""", "start_t stop_t")
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return behavior.trials(samples(spark, sf_dir), F.col("x") < 20, {"left": F.col("y") < 30, "right": F.col("y") > 70}, 0.0, 5 * DAY)
+    return behavior.trials(samples(spark, sf_dir), F.col("x") < 20, {"left": F.col("y") < 30, "right": F.col("y") > 70}, 0.0, 5 * DAY, SPAN)
 
 
 @named("""SELECT count_if(a AND b) / count(*) AS jaccard FROM (SELECT bool_or(session % 2 = 0) AS a, bool_or(session % 2 = 1) AS b FROM placed WHERE bin_id >= 0 GROUP BY bin_id)""", "jaccard")
