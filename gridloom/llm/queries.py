@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table
-from . import decontam, html_extract, line_dedup, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_filter
+from . import byte_bpe, decontam, html_extract, importance, line_dedup, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -157,13 +157,73 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path(RANKS), public_tokenizers.PATTERN
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    both = byte_bpe.decode(coded, path, pattern)
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), words AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', 0, 0, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+), seen AS (
+  SELECT kind, r, word, count(*) AS n FROM (SELECT kind, r, unnest(w) AS word FROM words) GROUP BY ALL
+), hexed AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM seen)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc
+), buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t
+  FROM seen JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM buckets) + 10000)::DOUBLE
+                                 / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM buckets) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM buckets
+), weights AS (
+  SELECT r, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight
+  FROM seen JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (r) WHERE kind = 'd'
+), ranked AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM ranked
+"""
+
+
 def queries() -> dict:
     found = [
         op1_mix_sources, op2_toxicity, op3_quality_rules, op4_token_counts, op5_html_extraction, op6_url_filter, op7_line_dedup, op8_token_files,
-        op9_ngram_join, op10_decontamination,
+        op9_ngram_join, op10_decontamination, op11_byte_bpe, op13_importance_resampling,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL, "op13_importance_resampling": OP13_SQL}
