@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, table
-from . import byte_bpe, decontam, html_extract, importance, line_dedup, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_filter
+from . import byte_bpe, decontam, hard_negatives, html_extract, importance, line_dedup, mixing, ngram_join, quality, token_counts, token_files, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -170,6 +170,32 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, n.id AS negative_id, n.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id)::INTEGER AS rank
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.withColumnRenamed("id", "doc_id")
@@ -220,10 +246,10 @@ FROM ranked
 def queries() -> dict:
     found = [
         op1_mix_sources, op2_toxicity, op3_quality_rules, op4_token_counts, op5_html_extraction, op6_url_filter, op7_line_dedup, op8_token_files,
-        op9_ngram_join, op10_decontamination, op11_byte_bpe, op13_importance_resampling,
+        op9_ngram_join, op10_decontamination, op11_byte_bpe, op12_hard_negatives, op13_importance_resampling,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL, "op7_line_dedup": OP7_SQL, "op12_hard_negatives": OP12_SQL, "op13_importance_resampling": OP13_SQL}
