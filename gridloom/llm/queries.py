@@ -163,11 +163,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = tokenizer_path(RANKS), public_tokenizers.PATTERN
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    both = byte_bpe.decode(coded, path, pattern)
-    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN)
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
