@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .moments import correlation
+
 
 def wrap(a: Column) -> Column:
     """Into [-pi, pi)."""
@@ -38,9 +40,9 @@ def rayleigh_p(z: Column, n: Column) -> Column:
 
 
 def circular_linear_r(a: Column, x: Column) -> Column:
-    """Correlation of an angle with a number, an aggregate: from three plain correlations."""
-    rc, rs, cs = F.corr(x, F.cos(a)), F.corr(x, F.sin(a)), F.corr(F.sin(a), F.cos(a))
-    r2 = (rc * rc + rs * rs - 2 * rc * rs * cs) / F.nullif(1 - cs * cs, F.lit(0.0))
+    """Correlation of an angle with a number, an aggregate: from three plain correlations; null where either is constant."""
+    rc, rs, cs = correlation(x, F.cos(a)), correlation(x, F.sin(a)), correlation(F.sin(a), F.cos(a))
+    r2 = (rc * rc + rs * rs - 2 * rc * rs * cs) / F.when(F.abs(1 - cs * cs) > 1e-12, 1 - cs * cs)
     return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), r2)))
 
 

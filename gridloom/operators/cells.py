@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import angles, geometry
+from ..functions.moments import correlation
 from . import encoding, visibility
 from . import timeseries as ts
 from .grid import Grid, bin_at
@@ -156,7 +157,7 @@ def compare_directions(rates: DataFrame, a: str, b: str) -> DataFrame:
     of = lambda label, name: rates.where(F.col("label") == label).select("unit", "bin_id", F.col("rate").alias(name))
     d = of(a, "ra").join(of(b, "rb"), ["unit", "bin_id"]).where("ra is not null and rb is not null")
     index = F.try_divide(F.abs(F.col("ra") - F.col("rb")), F.nullif(F.col("ra") + F.col("rb"), F.lit(0.0)))
-    return d.groupBy("unit").agg(F.corr("ra", "rb").alias("r"), F.avg(index).alias("directionality"))
+    return d.groupBy("unit").agg(correlation(F.col("ra"), F.col("rb")).alias("r"), F.avg(index).alias("directionality"))
 
 
 def cell_types(rates: DataFrame, edges: DataFrame, max_mean_rate: float = 10.0, share: float = 0.2, min_bins: int = 1, min_information: float = 0.5) -> DataFrame:
@@ -238,12 +239,12 @@ def region_coverage(fields: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def radial_autocorrelation(rates: DataFrame, distances: DataFrame, width: float) -> DataFrame:
-    """(unit, ring, r, n): correlation of the rates of pairs of bins by their distance (a, b, distance), in rings of ``width``."""
+    """(unit, ring, r, n): correlation of the rates of pairs of bins by their distance (a, b, distance), in rings of ``width``; null where rates of a ring are constant."""
     pairs = distances.where("a < b").select("a", "b", F.floor(F.col("distance") / width).alias("ring"))
     of = lambda k: rates.where("rate is not null").select("unit", F.col("bin_id").alias(k), F.col("rate").alias(f"r{k}"))
     d = pairs.join(of("a"), "a").join(of("b"), ["unit", "b"])
-    d = d.groupBy("unit", "ring").agg(F.corr("ra", "rb").alias("r"), F.count("*").alias("n"))
-    return d.where("n >= 2").select("unit", "ring", F.when(~F.isnan("r"), F.col("r")).alias("r"), "n")
+    d = d.groupBy("unit", "ring").agg(correlation(F.col("ra"), F.col("rb")).alias("r"), F.count("*").alias("n"))
+    return d.where("n >= 2").select("unit", "ring", "r", "n")
 
 
 def phase_precession(rows: DataFrame, slopes: tuple[float, float, int], min_spikes: int = 10, alpha: float = 0.05) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.moments import CONSTANT, correlation
 from . import events
 
 
@@ -140,7 +141,7 @@ def explained_variance(template: DataFrame, match: DataFrame, control: DataFrame
     keys = ["unit_a", "unit_b"]
     named = lambda d, c: d.select(*keys, F.col("r").alias(c))
     d = named(template, "t").join(named(match, "m"), keys).join(named(control, "c"), keys)
-    r = d.agg(F.corr("t", "m").alias("tm"), F.corr("t", "c").alias("tc"), F.corr("m", "c").alias("mc"))
+    r = d.agg(correlation(F.col("t"), F.col("m")).alias("tm"), correlation(F.col("t"), F.col("c")).alias("tc"), correlation(F.col("m"), F.col("c")).alias("mc"))
     part = lambda a, b: F.pow(F.try_divide(F.col(a) - F.col(b) * F.col("mc"), F.sqrt((1 - F.col(b) * F.col(b)) * (1 - F.col("mc") * F.col("mc")))), 2)
     return r.select(part("tm", "tc").alias("ev"), part("tc", "tm").alias("rev"))
 
@@ -168,7 +169,7 @@ def radon_line(post: DataFrame, n_bins: int, n_slopes: int, width: int = 1) -> D
 
 
 def decoding_correlation(decoded: DataFrame, truth: DataFrame) -> DataFrame:
-    """(r): weighted correlation of mean_x, mean_y with x, y of ``truth``, averaged over both; weights are peak probabilities."""
+    """(r): weighted correlation of mean_x, mean_y with x, y of ``truth``, averaged over both; weights are peak probabilities.  Null where any is constant."""
     d = decoded.join(truth.select("t_idx", "x", "y"), "t_idx")
     w = F.col("peak")
 
@@ -177,7 +178,12 @@ def decoding_correlation(decoded: DataFrame, truth: DataFrame) -> DataFrame:
         return {"w": F.sum(w), "a": F.sum(w * a_), "b": F.sum(w * b_), "aa": F.sum(w * a_ * a_), "bb": F.sum(w * b_ * b_), "ab": F.sum(w * a_ * b_)}
 
     sums = d.agg(*[e.alias(f"{k}{i}") for i, (a, b) in enumerate((("mean_x", "x"), ("mean_y", "y"))) for k, e in part(a, b).items()])
-    one = lambda i: (F.col(f"ab{i}") - F.col(f"a{i}") * F.col(f"b{i}") / F.col(f"w{i}")) / F.sqrt(
-        (F.col(f"aa{i}") - F.col(f"a{i}") * F.col(f"a{i}") / F.col(f"w{i}")) * (F.col(f"bb{i}") - F.col(f"b{i}") * F.col(f"b{i}") / F.col(f"w{i}"))
-    )
+
+    def left(i: int, a: str, b: str) -> Column:
+        """What of a sum of products is not the product of means; 0 where it is all rounding."""
+        whole = F.col(f"{a}{b}{i}")
+        d = whole - F.try_divide(F.col(f"{a}{i}") * F.col(f"{b}{i}"), F.col(f"w{i}"))
+        return F.when(F.abs(d) > CONSTANT * F.abs(whole), d).otherwise(0.0) if a == b else d
+
+    one = lambda i: F.try_divide(left(i, "a", "b"), F.sqrt(F.greatest(F.lit(0.0), left(i, "a", "a") * left(i, "b", "b"))))
     return sums.select(((one(0) + one(1)) / 2).alias("r"))

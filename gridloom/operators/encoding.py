@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import angles
+from ..functions.moments import correlation
 from ..session import Scratch
 from . import fields
 from . import timeseries as ts
@@ -82,7 +83,7 @@ def coherence(rates: DataFrame, edges: DataFrame) -> DataFrame:
     """(unit, coherence): correlation of each bin's rate with the mean of its neighbours'."""
     near = edges.select("src", "dst").join(rates.select("unit", F.col("bin_id").alias("dst"), F.col("rate").alias("r")), "dst")
     near = near.groupBy("unit", F.col("src").alias("bin_id")).agg(F.avg("r").alias("around"))
-    return rates.join(near, ["unit", "bin_id"]).where("rate is not null and around is not null").groupBy("unit").agg(F.corr("rate", "around").alias("coherence"))
+    return rates.join(near, ["unit", "bin_id"]).where("rate is not null and around is not null").groupBy("unit").agg(correlation(F.col("rate"), F.col("around")).alias("coherence"))
 
 
 def in_out_ratio(rates: DataFrame, inside: Column) -> DataFrame:
@@ -100,13 +101,13 @@ def centroid(rates: DataFrame, bins: DataFrame) -> DataFrame:
 def stability(a: DataFrame, b: DataFrame) -> DataFrame:
     """(unit, r): correlation of two rate maps over the bins where both have a rate."""
     d = a.select("unit", "bin_id", F.col("rate").alias("ra")).join(b.select("unit", "bin_id", F.col("rate").alias("rb")), ["unit", "bin_id"])
-    return d.where("ra is not null and rb is not null").groupBy("unit").agg(F.corr("ra", "rb").alias("r"))
+    return d.where("ra is not null and rb is not null").groupBy("unit").agg(correlation(F.col("ra"), F.col("rb")).alias("r"))
 
 
 def population_vector_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     """(bin_id, r): correlation across units of two sets of rate maps."""
     d = a.select("unit", "bin_id", F.col("rate").alias("ra")).join(b.select("unit", "bin_id", F.col("rate").alias("rb")), ["unit", "bin_id"])
-    return d.where("ra is not null and rb is not null").groupBy("bin_id").agg(F.corr("ra", "rb").alias("r"))
+    return d.where("ra is not null and rb is not null").groupBy("bin_id").agg(correlation(F.col("ra"), F.col("rb")).alias("r"))
 
 
 def peak_bins(rates: DataFrame) -> DataFrame:

@@ -43,6 +43,13 @@ def hex_environment(samples: DataFrame, size: float, min_count: int = 1) -> tupl
     return bins, _with_distance(_linked(bins, ("q", "r"), [(1, 0), (0, 1), (-1, 0), (0, -1), (1, -1), (-1, 1)]), bins)
 
 
+def hex_counts(samples: DataFrame, bins: DataFrame, size: float) -> DataFrame:
+    """(bin_id, v): samples in each bin of ``hex_environment``."""
+    q, r = binning.hex_axial(F.col("x"), F.col("y"), size)
+    seen = samples.select(q.alias("q"), r.alias("r")).groupBy("q", "r").agg(F.count("*").cast("double").alias("v"))
+    return bins.select("bin_id", "q", "r").join(seen, ["q", "r"]).select("bin_id", "v")
+
+
 def polar_edges(bins: DataFrame, n_angles: int) -> DataFrame:
     """(src, dst, distance) of ``polar_bins``: rings next to each other, and angles round the seam along their arc."""
     links = _linked(bins, ("i_distance", "i_angle"), [(1, 0), (-1, 0), (0, 1), (0, -1)], n_angles)

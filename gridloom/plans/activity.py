@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behavior, circular, decoding, encoding, events, regions, stats, trajectory
+from ..functions.moments import correlation, correlation_sql
+from ..operators import behavior, circular, decoding, encoding, events, regions, stats, tiles, trajectory
 from ..operators import timeseries as ts
 from .catalog import MAX_GAP, SPAN, START, STOP, grid, named, path, samples, spikes
 from .spatial import BOX, IN_BOX, KERNEL
@@ -133,7 +134,7 @@ def map_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({c: F.col(c) * 1e6 for c in ("mean_rate", "peak_rate", "information_per_second")})
 
 
-@named("SELECT unit, corr(rate, around) AS coherence FROM rates JOIN (SELECT unit, src AS bin_id, avg(rate) AS around FROM edges JOIN rates ON dst = bin_id GROUP BY ALL) USING (unit, bin_id) WHERE rate IS NOT NULL AND around IS NOT NULL GROUP BY unit", "coherence")
+@named(f"SELECT unit, {correlation_sql('rate', 'around')} AS coherence FROM rates JOIN (SELECT unit, src AS bin_id, avg(rate) AS around FROM edges JOIN rates ON dst = bin_id GROUP BY ALL) USING (unit, bin_id) WHERE rate IS NOT NULL AND around IS NOT NULL GROUP BY unit", "coherence")
 def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.coherence(_rates(spark, sf_dir), grid(spark, sf_dir).edges)
 
@@ -162,7 +163,7 @@ def rate_map_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.smoothed_rate_map(_rates(spark, sf_dir), kernel).select("unit", "bin_id", (F.col("rate") * 1e6).alias("rate_e6"))
 
 
-@named("SELECT unit, corr(ra, rb) AS r FROM (SELECT a.unit, a.rate AS ra, coalesce(b.rate, NULL) AS rb FROM rates a JOIN (SELECT unit, rate, bin_id + 1 AS bin_id FROM rates) b USING (unit, bin_id)) WHERE ra IS NOT NULL AND rb IS NOT NULL GROUP BY unit", "r")
+@named(f"SELECT unit, {correlation_sql('ra', 'rb')} AS r FROM (SELECT a.unit, a.rate AS ra, coalesce(b.rate, NULL) AS rb FROM rates a JOIN (SELECT unit, rate, bin_id + 1 AS bin_id FROM rates) b USING (unit, bin_id)) WHERE ra IS NOT NULL AND rb IS NOT NULL GROUP BY unit", "r")
 def map_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each map against itself moved by one bin."""
     r = _rates(spark, sf_dir)
@@ -275,13 +276,22 @@ def posterior_with_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.posterior(decoding.log_likelihood(_counts(spark, sf_dir), _unit_rates(spark, sf_dir), DT), prior)
 
 
-@named("""SELECT t_idx, m.map_bin, b.x AS map_x, b.y AS map_y, mean_x, mean_y, entropy, peak FROM best m JOIN bins b ON b.bin_id = map_bin
-  JOIN (SELECT t_idx, sum(p * x) AS mean_x, sum(p * y) AS mean_y, -sum(CASE WHEN p > 0 THEN p * log2(p) END) AS entropy, max(p) AS peak FROM post JOIN bins USING (bin_id) GROUP BY t_idx) USING (t_idx)""",
-  "map_x map_y mean_x mean_y entropy peak")
+ESTIMATES = """SELECT t_idx, m.map_bin, b.x AS map_x, b.y AS map_y, mean_x, mean_y, entropy, peak FROM best m JOIN bins b ON b.bin_id = map_bin
+  JOIN (SELECT t_idx, sum(p * x) AS mean_x, sum(p * y) AS mean_y, -sum(CASE WHEN p > 0 THEN p * log2(p) END) AS entropy, max(p) AS peak FROM post JOIN bins USING (bin_id) GROUP BY t_idx) USING (t_idx)"""
+ESTIMATED = "map_x map_y mean_x mean_y entropy peak"
+
+
+@named(ESTIMATES, ESTIMATED)
 def decoded_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.estimates(_post(spark, sf_dir), grid(spark, sf_dir).bins)
 
 
+@named(ESTIMATES, ESTIMATED)
+def decode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``decoded_estimates`` gives, from tiles of bins, without a posterior table."""
+    return tiles.decode_summary(_counts(spark, sf_dir), _unit_rates(spark, sf_dir), grid(spark, sf_dir).bins, DT)
+
+
 @named("""SELECT t_idx, count(*) AS n FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY t_idx ORDER BY p DESC, bin_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM post) WHERE b < 0.9 GROUP BY t_idx""")
 def credible_region_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.credible_region(_post(spark, sf_dir), 0.9).groupBy("t_idx").agg(F.count("*").alias("n"))
@@ -469,7 +479,7 @@ def shuffled_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of x and y within event types, and of 20 shuffles of y."""
     s = samples(spark, sf_dir).select("event_type", "idx", "x", "y")
     d = stats.permuted(s, "y", ["event_type"], "idx", 20).join(s.select("idx", "x"), "idx")
-    return d.groupBy("shuffle", "event_type").agg(F.corr("x", "y").alias("r"))
+    return d.groupBy("shuffle", "event_type").agg(correlation(F.col("x"), F.col("y")).alias("r"))
 
 
 @named("SELECT unit, t_idx, avg(n) OVER (PARTITION BY unit ORDER BY t_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS rate FROM unit_counts", "rate")

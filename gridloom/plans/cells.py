@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.moments import correlation_sql
 from ..operators import cells, encoding, grid as grids
 from .activity import INSIDE, TUNING, _counts, _rates, _tuning, _unit_rates, fields_sql
 from .catalog import MAX_GAP, SPAN, grid, named, path, samples, spikes
@@ -176,7 +177,7 @@ def region_field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.region_coverage(_fields(spark, sf_dir), member)
 
 
-@named("""SELECT unit, ring, CASE WHEN isnan(r) THEN NULL ELSE r END AS r, n FROM (SELECT a.unit, floor(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) / 25.0)::BIGINT AS ring, corr(a.rate, b.rate) AS r, count(*) AS n
+@named(f"""SELECT unit, ring, r, n FROM (SELECT a.unit, floor(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) / 25.0)::BIGINT AS ring, {correlation_sql("a.rate", "b.rate")} AS r, count(*) AS n
   FROM rates a JOIN rates b ON a.unit = b.unit AND a.bin_id < b.bin_id JOIN bins p ON p.bin_id = a.bin_id JOIN bins q ON q.bin_id = b.bin_id WHERE a.rate IS NOT NULL AND b.rate IS NOT NULL GROUP BY ALL) WHERE n >= 2""", "r")
 def radial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of bins by straight distance; their number is the square of the bins', whatever the samples."""

@@ -112,11 +112,6 @@ def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.isotonic_fit(d.select("t_idx", F.col("mean_x").alias("s"), F.col("peak").alias("p")))
 
 
-@named("SELECT range AS bin_id, (range % 10 + 0.5) * 5.0::DOUBLE * cos(2 * pi() * (range // 10) / 4) AS x, (range % 10 + 0.5) * 5.0::DOUBLE * sin(2 * pi() * (range // 10) / 4) AS y, (range + 0.5) * 5.0::DOUBLE AS position FROM range(0, 40)", "x y position")
-def track_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.track_bins(mazes.star(spark, 4, 50.0), 5.0).select("bin_id", "x", "y", "position")
-
-
 @named(f"SELECT range AS bin_id, (range // 12 + 0.5) * 10.0::DOUBLE AS distance, (range % 12 + 0.5) * (2 * {math.pi}::DOUBLE / 12) - {math.pi} AS angle, 0.5 * (pow((range // 12 + 1) * 10.0, 2) - pow((range // 12) * 10.0, 2)) * (2 * {math.pi}::DOUBLE / 12) AS area FROM range(0, 60)", "distance angle area")
 def polar_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.polar_bins(spark, (0.0, 50.0, 5), 12).select("bin_id", "distance", "angle", "area")

@@ -73,13 +73,6 @@ def full_grid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.full_grid_values(_field(spark, sf_dir), grid(spark, sf_dir))
 
 
-@named("""WITH b AS (SELECT range AS bin, range // 10 AS s, range % 10 AS k, (range % 10 + 0.5) * 5.0::DOUBLE * cos(2 * pi() * (range // 10) / 4) AS x, (range % 10 + 0.5) * 5.0::DOUBLE * sin(2 * pi() * (range // 10) / 4) AS y FROM range(0, 40))
-  SELECT p.bin AS src, q.bin AS dst, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS distance FROM b p JOIN b q ON (p.s = q.s AND abs(p.k - q.k) = 1) OR (p.k = 0 AND q.k = 0 AND p.s <> q.s)""", "distance")
-def track_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plus maze, whose arms meet in the middle."""
-    return layouts.track_edges(grids.track_bins(mazes.star(spark, 4, 50.0), 5.0), 0.1)
-
-
 @named("""WITH s(segment, x0, y0, dx, dy, len, before) AS (VALUES (0, 100.0, 0.0, 0.0, 50.0, 50.0, 0.0), (1, 100.0, 50.0, -80.0, 0.0, 80.0, 50.0), (2, 100.0, 50.0, 80.0, 0.0, 80.0, 130.0)), p AS (
     SELECT idx, x, y, segment, x0, y0, dx, dy, len, before, least(1.0, greatest(0.0, ((x - x0) * dx + (y - y0) * dy) / (len * len))) AS u FROM samples CROSS JOIN s), q AS (
     SELECT *, sqrt((x0 + u * dx - x) * (x0 + u * dx - x) + (y0 + u * dy - y) * (y0 + u * dy - y)) AS off FROM p)
@@ -89,13 +82,6 @@ def to_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.to_linear(samples(spark, sf_dir).select("idx", "x", "y"), track).select("idx", "segment", "position", F.col("offset").alias("off_track"))
 
 
-@named("""SELECT range AS k, (CASE WHEN range < 5 THEN 100.0 WHEN range < 13 THEN 100.0 - (range * 10.0 - 50) ELSE least(180.0, 100.0 + (range * 10.0 - 130)) END)::DOUBLE AS x, (CASE WHEN range < 5 THEN range * 10.0 ELSE 50.0 END)::DOUBLE AS y FROM range(0, 25)""", "x y")
-def from_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    track = mazes.segments(spark, [((100.0, 0.0), (100.0, 50.0)), ((100.0, 50.0), (20.0, 50.0)), ((100.0, 50.0), (180.0, 50.0))])
-    points = spark.range(25).select(F.col("id").alias("k"), (F.col("id") * 10.0).alias("position"))
-    return layouts.from_linear(points, track).select("k", "x", "y")
-
-
 @named("""WITH RECURSIVE h(bin_id, h) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, h + 1 FROM h JOIN edges e ON e.src = h.bin_id WHERE h < 30), d AS (SELECT bin_id, min(h) AS d FROM h GROUP BY bin_id),
   back AS (SELECT src, min(dst) AS before FROM edges JOIN d a ON a.bin_id = src JOIN d b ON b.bin_id = dst WHERE b.d = a.d - 1 GROUP BY src),
   way(target, step, bin_id) AS (SELECT bin_id, 0, bin_id FROM d UNION ALL SELECT target, step + 1, before FROM way JOIN back ON back.src = way.bin_id) SELECT * FROM way""")
