@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .rank_queue import Merger
 
-#: Words whose ids a worker remembers before it forgets those not in use; bounds its memory.
+#: Words, and matches, whose ids a worker remembers before it forgets those not in use; bounds its memory.
 WORDS_KEPT = 300_000
 #: Characters of texts encoded together.
 CHARS_AT_ONCE = 4_000_000
@@ -43,6 +43,7 @@ class ByteBpe:
         self._ranks = read_ranks(path)
         self._matches = regex.compile(pattern).findall
         self._words: dict[str, bytes] = {}
+        self._made: dict[bytes, bytes] = {}
         self._tokens = [b""] * (max(self._ranks.values()) + 1)
         for token, rank in self._ranks.items():
             self._tokens[rank] = token
@@ -63,8 +64,12 @@ class ByteBpe:
         whole, findall = self._whole, self._matches
         # Plain letters after a space, if any, are one match; most words are that.
         split = [(t.encode(),) if (w := t.removeprefix(" ")).isalpha() and w.isascii() else tuple(m.encode() for m in findall(t)) for t in texts]
-        new = list({m for ms in split for m in ms if m not in whole})
-        made = dict(zip(new, self._merger.merge(new)))
+        wanted = {m for ms in split for m in ms if m not in whole}
+        if len(self._made) + len(wanted) > WORDS_KEPT:  # those in use are kept
+            self._made = {m: self._made[m] for m in wanted if m in self._made}
+        made = self._made
+        new = [m for m in wanted if m not in made]
+        made.update(zip(new, self._merger.merge(new)))
         return [(whole.get(ms[0]) or made[ms[0]]) if len(ms) == 1 else b"".join([whole.get(m) or made[m] for m in ms]) for ms in split]
 
     def _learn(self, heads: list[str], wanted: set[str]) -> list[bytes]:
