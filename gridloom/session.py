@@ -75,5 +75,6 @@ class Scratch:
         return self.spark.read.schema(data.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Delete the tables of these names; all of them for an empty name."""
         for name in names:
-            drop_path(self.spark, f"{self.folder}/{name}")
+            drop_path(self.spark, f"{self.folder}/{name}".rstrip("/"))
