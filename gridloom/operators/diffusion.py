@@ -22,6 +22,8 @@ from .fields import components
 
 #: What the first term left out may weigh.
 TOLERANCE = 1e-12
+#: Degrees in one job.
+DEGREES_AT_ONCE = 6
 #: Denominators of smoothed fields are this at least.
 LEAST = 1e-12
 
@@ -114,8 +116,8 @@ def series(f: Callable[[np.ndarray], np.ndarray], top: float, tolerance: float =
 def filtered(field: DataFrame, laplacian: DataFrame, top: float, coefficients: Sequence[Sequence[float]], by: Sequence[str] = ()) -> DataFrame:
     """(by, bin_id, o0, o1, ...) of ``field`` (by, bin_id, v): each output a Chebyshev series of the Laplacian applied to v.
 
-    Bins that a series doesn't reach have no row.  Each degree is one job: a join with the
-    links and a sum, written in place of the last.
+    Bins that a series doesn't reach have no row; a Laplacian needs its diagonal.  Each degree
+    is a join with the links and a sum; every few of them are written in place of the last.
     """
     spark, keys, n = field.sparkSession, [*by, "bin_id"], len(coefficients)
     scratch = Scratch(spark, "filter")
@@ -123,18 +125,27 @@ def filtered(field: DataFrame, laplacian: DataFrame, top: float, coefficients: S
     at = lambda j, k: float(coefficients[j][k]) if k < len(coefficients[j]) else 0.0
     scale = 2 / top if top else 0.0
     w = F.col("w") * scale - F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
-    links = scratch.keep("links", laplacian.select("src", F.col("dst").alias("bin_id"), w.alias("w")))
+    # A bin sends its value over each link, and to itself what it keeps.
+    sent = laplacian.select(F.col("dst").alias("bin_id"), F.col("src").alias("to"), w.alias("w"), F.lit(False).alias("stay"))
+    kept = laplacian.where("src = dst").select(F.col("src").alias("bin_id"), F.col("src").alias("to"), F.lit(0.0).alias("w"), F.lit(True).alias("stay"))
+    links = scratch.keep("links", sent.union(kept))
     outs = [f"o{j}" for j in range(n)]
     state = field.select(*keys, F.col("v").alias("now"), F.lit(0.0).alias("before"), *[(F.col("v") * at(j, 0)).alias(o) for j, o in enumerate(outs)])
+    written = ""
     for k in range(1, degree + 1):
-        zeros = [F.lit(0.0).alias(c) for c in ("before", *outs)]
-        moved = state.join(links, "bin_id").select(*by, F.col("src").alias("bin_id"), ((1 if k == 1 else 2) * F.col("w") * F.col("now")).alias("now"), *zeros)
-        stays = state.select(*keys, (-F.col("before")).alias("now"), F.col("now").alias("before"), *outs)
-        summed = moved.union(stays).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("now", "before", *outs)])
-        last = state
-        state = scratch.keep(f"degree-{k}", summed.select(*keys, "now", "before", *[(F.col(o) + at(j, k) * F.col("now")).alias(o) for j, o in enumerate(outs)]))
-        if last is not field and k > 1:
-            scratch.drop(f"degree-{k - 1}")
+        moved = state.join(links, "bin_id").select(
+            *by, F.col("to").alias("bin_id"),
+            F.when(F.col("stay"), -F.col("before")).otherwise((1 if k == 1 else 2) * F.col("w") * F.col("now")).alias("now"),
+            F.when(F.col("stay"), F.col("now")).otherwise(0.0).alias("before"),
+            *[F.when(F.col("stay"), F.col(o)).otherwise(0.0).alias(o) for o in outs],
+        )
+        summed = moved.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("now", "before", *outs)])
+        state = summed.select(*keys, "now", "before", *[(F.col(o) + at(j, k) * F.col("now")).alias(o) for j, o in enumerate(outs)])
+        if k % DEGREES_AT_ONCE == 0 or k == degree:
+            state = scratch.keep(f"degree-{k}", state)
+            scratch.drop(*[written] * bool(written))
+            written = f"degree-{k}"
+    scratch.drop("links")
     return state.select(*keys, *outs)
 
 

@@ -6,7 +6,7 @@ through one iteration together, and what is summed is summed for each of them.
 vectors are rows (bin, column); a step applies heat flow, as a Chebyshev series, which makes
 the slow modes the large ones, and orthogonalises against all blocks before by two passes of
 inner products that tasks add up.  Rayleigh's quotients of the operator itself then give
-eigenvalues and modes.  What the driver sees are small matrices, whose sizes are those of
+eigenvalues and modes.  A component of few bins is one small dense matrix instead.  What the driver sees are small matrices, whose sizes are those of
 the blocks, one for each component.
 """
 
@@ -26,10 +26,12 @@ from .fields import components
 #: Columns of a block beyond the modes that are asked for.
 SPARE = 6
 #: Heat flows so long in a step that the fastest mode is damped by the exponential of this.
-DAMPING = 12.0
+DAMPING = 20.0
 #: Blocks at most, and the residual of a mode, by the largest eigenvalue, at which it is found.
 BLOCKS = 8
 RESIDUAL = 1e-9
+#: Bins up to which a component is one dense matrix in one task; larger ones are iterated on.
+DENSE_BINS = 400
 #: Directions below this share of the largest are none.
 DEPENDENT = 1e-9
 
@@ -110,6 +112,25 @@ def _arrays(rows: DataFrame, column: str, width: int, out: str) -> DataFrame:
     return m.select("bin_id", filled.alias(out))
 
 
+def _dense(operator: DataFrame, labels: DataFrame, rank: int) -> DataFrame:
+    """(component, mode, eigenvalue, residual, bin_id, v) of components of at most ``DENSE_BINS`` bins."""
+
+    def solve(group: pa.Table) -> pa.Table:
+        src, dst = (group.column(c).to_numpy() for c in ("src", "dst"))
+        ids, at = np.unique(src, return_inverse=True)
+        m = np.zeros((len(ids), len(ids)))
+        np.add.at(m, (at, np.searchsorted(ids, dst)), group.column("w").to_numpy())
+        values, vectors = np.linalg.eigh((m + m.T) / 2)
+        n = min(rank, len(ids))
+        k = np.repeat(np.arange(n, dtype=np.int32), len(ids))
+        residual = np.abs(m @ vectors[:, :n] - vectors[:, :n] * values[:n]).max(0)
+        columns = [np.full(len(k), group.column("component")[0].as_py()), k, np.maximum(values[:n], 0.0)[k], residual[k], np.tile(ids, n), vectors[:, :n].T.ravel()]
+        return pa.table([pa.array(c) for c in columns], names=["component", "mode", "eigenvalue", "residual", "bin_id", "v"])
+
+    rows = operator.join(labels.withColumnRenamed("bin_id", "src"), "src").select("component", "src", "dst", "w")
+    return rows.groupBy("component").applyInArrow(solve, "component long, mode int, eigenvalue double, residual double, bin_id long, v double")
+
+
 def eigenbasis(bins: DataFrame, faces: DataFrame, rank: int, volume: str = "area") -> tuple[DataFrame, DataFrame]:
     """The slowest modes of each component: (component, mode, eigenvalue, residual) and (component, mode, bin_id, v).
 
@@ -120,9 +141,30 @@ def eigenbasis(bins: DataFrame, faces: DataFrame, rank: int, volume: str = "area
     what is left is told.  Scratch tables go once the modes are written.
     """
     spark = bins.sparkSession
-    scratch = Scratch(spark, "modes")
-    labels = scratch.keep("labels", components(bins.select("bin_id"), faces.select("src", "dst")).select("bin_id", F.col("component").cast("long")))
-    operator = scratch.keep("operator", symmetric_operator(bins, faces, volume))
+    work = Scratch(spark, "modes")
+    labels = work.keep("labels", components(bins.select("bin_id"), faces.select("src", "dst")).select("bin_id", F.col("component").cast("long")))
+    operator = work.keep("operator", symmetric_operator(bins, faces, volume))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    of_size = lambda large: labels.join(sizes.where(F.col("n") > DENSE_BINS if large else F.col("n") <= DENSE_BINS), "component").select("bin_id", "component")
+    told, rows = spark.createDataFrame([], "component long, mode int, eigenvalue double, residual double"), spark.createDataFrame([], "component long, mode int, bin_id long, v double")
+    results = Scratch(spark, "eigenbasis")
+    if not sizes.where(F.col("n") <= DENSE_BINS).isEmpty():
+        small = results.keep("dense", _dense(operator, of_size(False), rank))
+        told = told.union(small.select("component", "mode", "eigenvalue", "residual").distinct())
+        rows = rows.union(small.select("component", "mode", "bin_id", "v"))
+    if not sizes.where(F.col("n") > DENSE_BINS).isEmpty():
+        large = of_size(True)
+        found, modes = _iterated(operator.join(large.select(F.col("bin_id").alias("src")), "src", "left_semi"), large, rank)
+        told, rows = told.union(found), rows.union(results.keep("modes", modes))
+    work.drop("")
+    return told, rows
+
+
+def _iterated(operator: DataFrame, labels: DataFrame, rank: int) -> tuple[DataFrame, DataFrame]:
+    """Block Lanczos over all components of ``labels`` (bin_id, component) at once."""
+    spark = operator.sparkSession
+    scratch = Scratch(spark, "lanczos")
+    labels, operator = scratch.keep("labels", labels), scratch.keep("operator", operator)
     top = spectral_bound(operator)
     width = rank + SPARE
     flow = [series(lambda x: np.exp(-DAMPING * x / top), top, 1e-6)] if top else [[1.0]]
@@ -165,8 +207,6 @@ def eigenbasis(bins: DataFrame, faces: DataFrame, rank: int, volume: str = "area
     told = [(c, k, float(max(0.0, v)), float(r)) for c, (values, _, residual) in modes.items() for k, (v, r) in enumerate(zip(values, residual))]
     drawn = _mapped(applied, {c: [vectors] for c, (_, vectors, _) in modes.items()}, lambda q, w, vectors: (q @ vectors,), "modes")
     rows = drawn.select("component", F.posexplode("modes").alias("mode", "v"), "bin_id").select("component", "mode", "bin_id", "v")
-    rows = Scratch(spark, "eigenbasis").keep("modes", rows)
-    scratch.drop("")
     return spark.createDataFrame(told, "component long, mode int, eigenvalue double, residual double"), rows
 
 

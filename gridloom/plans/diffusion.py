@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffusion, grid as grids, layouts
+from ..operators import diffusion, gam, grid as grids, layouts, spectral
 from .activity import _rates
 from .catalog import WIDTH, grid, named, samples
 from .layouts import HEX, PI
@@ -112,3 +112,26 @@ def heat_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)
     d = diffusion.heat_wavelets(g.bins.where("bin_id % 25 = 0").select("bin_id"), diffusion.graph_laplacian(g.bins, g.edges), (0.005, 0.02))
     return d.where("abs(v) > 1e-5")
+
+
+def _modes(spark: SparkSession, sf_dir: str, rank: int) -> tuple:
+    g = grid(spark, sf_dir)
+    return g, spectral.eigenbasis(g.bins, diffusion.grid_faces(g.bins, g.edges, WIDTH), rank)
+
+
+@named()
+def heat_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slowest modes of heat flow over the bins of events, and whether heat of width 10 leaves them at a thousandth."""
+    _, (values, _) = _modes(spark, sf_dir, 12)
+    return values.select("component", "mode", F.round("eigenvalue", 9).alias("eigenvalue"), (F.exp(F.col("eigenvalue") * -50.0) >= 1e-3).alias("kept"))
+
+
+@named()
+def penalised_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate maps as penalised Poisson models, one penalty for all units, chosen by restricted likelihood."""
+    g, (values, modes) = _modes(spark, sf_dir, 12)
+    rates = _rates(spark, sf_dir)
+    days = rates.groupBy("bin_id").agg((F.max("seconds") / 86400.0).alias("seconds"))
+    columns, d, n_constants = spectral.live_basis(g.bins, values, modes, days, 12)
+    maps, fits = gam.fit_rate_maps(rates.select("unit", "bin_id", "n"), days, columns, d, n_constants)
+    return maps.join(fits, "unit").select("unit", "bin_id", F.round("rate", 4).alias("rate_per_day"), F.round("log_penalty", 2).alias("log_penalty"))

@@ -35,9 +35,12 @@ def basis(layout):
     return [x.persist() for x in spectral.eigenbasis(*layout, 7)]
 
 
-def test_modes(layout, basis):
+@pytest.mark.parametrize("dense_bins", [0, 12, 400])
+def test_modes(layout, dense_bins, monkeypatch):
+    """By block Lanczos, by both, and dense."""
+    monkeypatch.setattr(spectral, "DENSE_BINS", dense_bins)
     s, _ = dense(layout)
-    values, modes = (x.collect() for x in basis)
+    values, modes = (x.collect() for x in spectral.eigenbasis(*layout, 7))
     assert sorted({r.component for r in values}) == [0, 15]
     for first, last in ((0, 15), (15, 25)):
         part = s[first:last, first:last]
@@ -59,8 +62,10 @@ def test_heat_rank(basis):
         assert ranks[c] == max(1, len(kept))
 
 
-def test_more_modes_than_bins(spark):
+@pytest.mark.parametrize("dense_bins", [0, 400])
+def test_more_modes_than_bins(spark, dense_bins, monkeypatch):
     """A component of one bin, and fewer bins than modes."""
+    monkeypatch.setattr(spectral, "DENSE_BINS", dense_bins)
     g = regular_grid(spark, (0.0, 0.0), (1.0, 1.0), (4, 1), diagonal=False)
     g = subset(g, F.col("ix") != 1)
     values, modes = spectral.eigenbasis(g.bins, diffusion.grid_faces(g.bins, g.edges, (1.0, 1.0)), 5)
