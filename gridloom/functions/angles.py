@@ -43,7 +43,7 @@ def circular_linear_r(a: Column, x: Column) -> Column:
     """Correlation of an angle with a number, an aggregate: from three plain correlations; null where either is constant."""
     rc, rs, cs = correlation(x, F.cos(a)), correlation(x, F.sin(a)), correlation(F.sin(a), F.cos(a))
     r2 = (rc * rc + rs * rs - 2 * rc * rs * cs) / F.when(F.abs(1 - cs * cs) > 1e-12, 1 - cs * cs)
-    return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), r2)))
+    return F.when(r2.isNotNull(), F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), r2))))
 
 
 def erf(x: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffusion, gam, grid as grids, layouts, spectral
+from ..operators import diffusion, gam, grid as grids, layouts, mesh, spectral
 from .activity import _rates
 from .catalog import WIDTH, grid, named, samples
 from .layouts import HEX, PI
@@ -135,3 +135,44 @@ def penalised_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns, d, n_constants = spectral.live_basis(g.bins, values, modes, days, 12)
     maps, fits = gam.fit_rate_maps(rates.select("unit", "bin_id", "n"), days, columns, d, n_constants)
     return maps.join(fits, "unit").select("unit", "bin_id", F.round("rate", 4).alias("rate_per_day"), F.round("log_penalty", 2).alias("log_penalty"))
+
+
+# A mesh through the middles of the events of each cell
+
+CORNERS = "SELECT cell AS id, avg(x) AS x, avg(y) AS y FROM cells WHERE cell IS NOT NULL GROUP BY cell"
+TRIPLES = """SELECT p.id AS a, q.id AS b, r.id AS c, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_, r.x AS cx, r.y AS cy, q.x - p.x AS ux, q.y - p.y AS uy, r.x - p.x AS wx, r.y - p.y AS wy,
+    2 * ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) AS d FROM corners p JOIN corners q ON p.id < q.id JOIN corners r ON q.id < r.id"""
+CIRCLES = """SELECT *, ax + ox AS mx, ay + oy AS my, ox * ox + oy * oy AS rr FROM (SELECT *, (wy * (ux * ux + uy * uy) - uy * (wx * wx + wy * wy)) / d AS ox, (ux * (wx * wx + wy * wy) - wx * (ux * ux + uy * uy)) / d AS oy FROM triples WHERE abs(d) > 2e-9 * 625)
+    WHERE ox * ox + oy * oy <= 625"""
+#: Bins of the mesh, by brute force: circles of at most 25 that hold no other corner.
+MESH = f"""WITH corners AS ({CORNERS}), triples AS ({TRIPLES}), circles AS ({CIRCLES})
+  SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS bin_id, a, b, c, ax, ay, bx, by_, cx, cy, (ax + bx + cx) / 3 AS x, (ay + by_ + cy) / 3 AS y, abs(d) / 4 AS area FROM circles t
+  WHERE (ax + bx + cx) / 3 < 180 AND NOT EXISTS (SELECT 1 FROM corners o WHERE o.id NOT IN (a, b, c) AND (o.x - mx) * (o.x - mx) + (o.y - my) * (o.y - my) < rr)"""
+
+
+def _mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = grid(spark, sf_dir)
+    s = samples(spark, sf_dir).withColumn("id", g.cell(F.col("x"), F.col("y"))).where("id is not null")
+    corners = s.groupBy("id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return mesh.mesh(corners, 25.0, F.col("x") < 180)
+
+
+@named(f"SELECT bin_id, a, b, c, x, y, area FROM ({MESH})", "x y area")
+def mesh_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles between the middles of the events of each cell."""
+    return _mesh(spark, sf_dir)[0].select("bin_id", "a", "b", "c", "x", "y", "area")
+
+
+@named(f"""WITH m AS MATERIALIZED ({MESH}), s AS (SELECT bin_id, x, y, a AS i, b AS j, sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)) AS face FROM m UNION ALL SELECT bin_id, x, y, a, c, sqrt((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy)) FROM m
+    UNION ALL SELECT bin_id, x, y, b, c, sqrt((bx - cx) * (bx - cx) + (by_ - cy) * (by_ - cy)) FROM m)
+  SELECT p.bin_id AS src, q.bin_id AS dst, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS distance, p.face FROM s p JOIN s q ON p.i = q.i AND p.j = q.j AND p.bin_id <> q.bin_id""", "distance face")
+def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mesh(spark, sf_dir)[1]
+
+
+@named(f"""WITH m AS MATERIALIZED ({MESH}), h AS (SELECT idx, min(bin_id) AS bin_id FROM (SELECT s.idx, m.bin_id, (bx - ax) * (s.y - ay) - (by_ - ay) * (s.x - ax) AS p, (cx - bx) * (s.y - by_) - (cy - by_) * (s.x - bx) AS q, (ax - cx) * (s.y - cy) - (ay - cy) * (s.x - cx) AS r
+    FROM samples s JOIN m ON s.x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND s.y BETWEEN least(ay, by_, cy) AND greatest(ay, by_, cy)) WHERE least(p, q, r) >= 0 OR greatest(p, q, r) <= 0 GROUP BY idx)
+  SELECT idx, coalesce(bin_id, -1) AS bin_id FROM samples LEFT JOIN h USING (idx)""")
+def mesh_bin_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triangle of every event."""
+    return mesh.mesh_bin_at(samples(spark, sf_dir).select("idx", "x", "y"), _mesh(spark, sf_dir)[0], 20.0).select("idx", "bin_id")
