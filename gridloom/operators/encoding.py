@@ -79,6 +79,18 @@ def map_measures(rates: DataFrame) -> DataFrame:
     )
 
 
+def mutual_information(rates: DataFrame, base: float = 2.0) -> DataFrame:
+    """(unit, bits): what a unit's rate tells of the place, a second, in bits for ``base`` 2; null where it never fires.
+
+    Places count by the seconds spent in them; bins without a rate take no part.
+    """
+    d = rates.where("rate is not null and seconds > 0")
+    m = d.groupBy("unit").agg(F.sum("seconds").alias("s"), F.sum(F.col("seconds") * F.col("rate")).alias("sr"), F.sum(F.when(F.col("rate") > 0, F.col("seconds") * F.col("rate") * F.log("rate"))).alias("sl"))
+    mean = F.try_divide(F.col("sr"), F.col("s"))
+    nats = F.try_divide(F.col("sl"), F.col("s")) - mean * F.log(F.when(mean > 0, mean))
+    return m.select("unit", F.when(mean > 0, F.greatest(F.lit(0.0), nats / F.log(F.lit(float(base))))).alias("bits"))
+
+
 def coherence(rates: DataFrame, edges: DataFrame) -> DataFrame:
     """(unit, coherence): correlation of each bin's rate with the mean of its neighbours'."""
     near = edges.select("src", "dst").join(rates.select("unit", F.col("bin_id").alias("dst"), F.col("rate").alias("r")), "dst")
