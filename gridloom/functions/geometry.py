@@ -39,6 +39,32 @@ def bearing(x: Column, y: Column, heading: Column, px: Column, py: Column) -> Co
     return F.atan2(left, ahead)
 
 
+#: Sides beyond which a polygon is an array that is gone through, and not code for each side.
+MANY_SIDES = 12
+
+
+def _sides(polygon: Sequence[tuple[float, float]]) -> Column:
+    ends = zip(polygon, [*polygon[1:], polygon[0]])
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("ax", "ay", "bx", "by"), (*a, *b))]) for a, b in ends])
+
+
+def _in_many_sided(x: Column, y: Column, polygon: Sequence[tuple[float, float]], boundary: bool, tolerance: float = 1e-9) -> Column:
+    def near(e: Column) -> Column:
+        ax, ay, bx, by = (e[k] for k in ("ax", "ay", "bx", "by"))
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        length = F.greatest(F.lit(1.0), F.hypot(bx - ax, by - ay))
+        within = x.between(F.least(ax, bx) - tolerance, F.greatest(ax, bx) + tolerance) & y.between(F.least(ay, by) - tolerance, F.greatest(ay, by) + tolerance)
+        return (F.abs(cross) <= tolerance * length) & within
+
+    def crosses(e: Column) -> Column:
+        ax, ay, bx, by = (e[k] for k in ("ax", "ay", "bx", "by"))
+        return ((ay > y) != (by > y)) & (x < F.coalesce(F.try_divide((bx - ax) * (y - ay), by - ay), F.lit(0.0)) + ax)
+
+    sides = _sides(polygon)
+    odd = F.size(F.filter(sides, crosses)) % 2 == 1
+    return F.when(F.exists(sides, near), F.lit(boundary)).otherwise(odd)
+
+
 def on_boundary(x: Column, y: Column, polygon: Sequence[tuple[float, float]], tolerance: float = 1e-9) -> Column:
     found = F.lit(False)
     for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]]):
@@ -50,6 +76,8 @@ def on_boundary(x: Column, y: Column, polygon: Sequence[tuple[float, float]], to
 
 def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]], boundary: bool = True) -> Column:
     """Whether a point lies in a simple polygon, by edges that a ray crosses; on its boundary ``boundary``."""
+    if len(polygon) > MANY_SIDES:
+        return _in_many_sided(x, y, polygon, boundary)
     odd = F.lit(False)
     for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]]):
         if ay == by:

@@ -100,7 +100,7 @@ def object_vector_cells(rates: DataFrame, bins: DataFrame, max_selectivity: floa
     rate, from 1 to ``max_selectivity`` scaled to 0 to 1, times the vector length of the
     rates over bearings.
     """
-    d = rates.join(F.broadcast(bins.select("bin_id", "distance", "angle")), "bin_id")
+    d = rates.join(bins.select("bin_id", "distance", "angle"), "bin_id")
     known = d.where("rate is not null")
     peak = F.min_by(F.struct("distance", "angle"), F.struct(-F.col("rate"), F.col("bin_id")))
     selective = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.try_divide(F.max("rate"), F.avg("rate")) - 1) / (max_selectivity - 1)))
@@ -127,7 +127,7 @@ def view_rates(spikes: DataFrame, states: DataFrame, grid: Grid, min_occupancy:
 
 def view_cells(rates: DataFrame, grid: Grid, min_information: float = 0.5) -> DataFrame:
     """(unit, x, y, peak_rate, information, spatial_view): where each unit's view rate is highest, and whether it tells enough."""
-    at = encoding.peak_bins(rates).join(F.broadcast(grid.bins.select("bin_id", "x", "y")), "bin_id")
+    at = encoding.peak_bins(rates).join(grid.small(grid.bins.select("bin_id", "x", "y")), "bin_id")
     d = at.join(encoding.map_measures(rates).select("unit", "information"), "unit")
     return d.select("unit", "x", "y", F.col("rate").alias("peak_rate"), "information", (F.col("information") > min_information).alias("spatial_view"))
 
@@ -197,7 +197,7 @@ def field_shapes(fields: DataFrame, bins: DataFrame) -> DataFrame:
 
     The axes are twice the deviations along and across; from the two by two covariance.
     """
-    d = fields.join(F.broadcast(bins.select("bin_id", "x", "y")), "bin_id")
+    d = fields.join(bins.select("bin_id", "x", "y"), "bin_id")
     mean = lambda c: F.sum(F.col("rate") * c) / F.sum("rate")
     x, y = F.col("x"), F.col("y")
     m = d.groupBy("unit", "field").agg(mean(x).alias("mx"), mean(y).alias("my"), mean(x * x).alias("xx"), mean(y * y).alias("yy"), mean(x * y).alias("xy"), F.count("*").alias("n_bins"))
@@ -221,7 +221,7 @@ def field_shift(a: DataFrame, b: DataFrame, bins: DataFrame) -> DataFrame:
 def track_shift_cost(a: DataFrame, b: DataFrame, bins: DataFrame) -> DataFrame:
     """(unit, cost): earth mover's distance of two maps of a track, each scaled to sum 1: the area between their running sums along ``position``."""
     d = a.select("unit", "bin_id", F.coalesce("rate", F.lit(0.0)).alias("ra")).join(b.select("unit", "bin_id", F.coalesce("rate", F.lit(0.0)).alias("rb")), ["unit", "bin_id"])
-    d = d.join(F.broadcast(bins.select("bin_id", "position")), "bin_id")
+    d = d.join(bins.select("bin_id", "position"), "bin_id")
     unit = Window.partitionBy("unit")
     order = unit.orderBy("position", "bin_id")  # one row for each bin of a track
     share = lambda c: F.try_divide(F.col(c), F.sum(c).over(unit))
@@ -285,7 +285,7 @@ def reactivation(template: DataFrame, match: DataFrame, weights: DataFrame) -> D
     base = base.join(weights, "unit").select("unit", "w", "mean", F.when(F.col("sd") > 1e-10, F.col("sd")).otherwise(1.0).alias("sd"))
 
     def size(counts: DataFrame, name: str) -> DataFrame:
-        d = counts.join(F.broadcast(base), "unit").groupBy("t_idx").agg(F.sum(F.col("w") * (F.col("n") - F.col("mean")) / F.col("sd")).alias("a"))
+        d = counts.join(base, "unit").groupBy("t_idx").agg(F.sum(F.col("w") * (F.col("n") - F.col("mean")) / F.col("sd")).alias("a"))
         return d.agg(F.avg(F.abs("a")).alias(name))
 
     return size(template, "a").crossJoin(size(match, "b")).select(F.try_divide(F.col("b"), F.when(F.col("a") > 1e-10, F.col("a"))).alias("strength"))  # one row each

@@ -21,7 +21,7 @@ def log_likelihood(counts: DataFrame, rates: DataFrame, dt: float, min_rate: flo
     r = rates.select("unit", "bin_id", F.greatest(F.coalesce("rate", F.lit(0.0)), F.lit(min_rate)).alias("rate"))
     silent = r.groupBy("bin_id").agg(F.sum(F.col("rate") * dt).alias("expected"))
     fired = counts.where("n > 0").join(r, "unit").groupBy("t_idx", "bin_id").agg(F.sum(F.col("n") * F.log(F.col("rate") * dt)).alias("heard"))
-    frame = counts.select("t_idx").distinct().crossJoin(F.broadcast(silent))
+    frame = counts.select("t_idx").distinct().crossJoin(silent)
     d = frame.join(fired, ["t_idx", "bin_id"], "left")
     return d.select("t_idx", "bin_id", (F.coalesce("heard", F.lit(0.0)) - F.col("expected")).alias("ll"))
 
@@ -31,7 +31,7 @@ def posterior(ll: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     if prior is not None:
         total = F.sum("q").over(Window.partitionBy(F.lit(1)))
         q = prior.select("bin_id", F.col("p").alias("q")).withColumn("q", F.greatest(F.col("q") / total, F.lit(1e-10)))
-        ll = ll.join(F.broadcast(q), "bin_id").withColumn("ll", F.col("ll") + F.log("q")).drop("q")
+        ll = ll.join(q, "bin_id").withColumn("ll", F.col("ll") + F.log("q")).drop("q")
     w = Window.partitionBy("t_idx")
     e = ll.withColumn("e", F.exp(F.col("ll") - F.max("ll").over(w)))
     return e.select("t_idx", "bin_id", (F.col("e") / F.sum("e").over(w)).alias("p"))
@@ -39,7 +39,7 @@ def posterior(ll: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
 def estimates(post: DataFrame, bins: DataFrame) -> DataFrame:
     """Per t_idx: map_bin (the first of equal ones) and its place, mean place, entropy in bits, peak probability."""
-    d = post.join(F.broadcast(bins.select("bin_id", "x", "y")), "bin_id")
+    d = post.join(bins.select("bin_id", "x", "y"), "bin_id")
     best = F.max_by(F.struct("bin_id", "x", "y"), F.struct("p", -F.col("bin_id")))
     found = d.groupBy("t_idx").agg(
         best.alias("m"),
@@ -76,7 +76,7 @@ def expected_confusion(post: DataFrame, truth: DataFrame) -> DataFrame:
 
 def linear_fit(post: DataFrame, position: DataFrame, dt: float) -> DataFrame:
     """(slope, intercept, r2) of the posterior-weighted line of position (bin_id, s) over time t_idx * dt."""
-    d = post.join(F.broadcast(position), "bin_id").withColumn("t", F.col("t_idx") * dt)
+    d = post.join(position, "bin_id").withColumn("t", F.col("t_idx") * dt)
     p, t, s = F.col("p"), F.col("t"), F.col("s")
     m = d.agg(F.sum(p).alias("w"), F.sum(p * t).alias("t"), F.sum(p * s).alias("s"), F.sum(p * t * t).alias("tt"), F.sum(p * t * s).alias("ts"), F.sum(p * s * s).alias("ss"))
     cov, vt, vs = F.col("ts") - t * s / F.col("w"), F.col("tt") - t * t / F.col("w"), F.col("ss") - s * s / F.col("w")
@@ -132,7 +132,7 @@ def assembly_activation(counts: DataFrame, weights: Sequence[tuple]) -> DataFram
     z = events.shift_z(counts, "n", ["unit"])
     spark = counts.sparkSession
     w = spark.createDataFrame(list(weights), f"unit {counts.schema['unit'].dataType.simpleString()}, w double")
-    d = z.join(F.broadcast(w), "unit").groupBy("t_idx").agg(F.sum(F.col("w") * F.col("z")).alias("a"))
+    d = z.join(w, "unit").groupBy("t_idx").agg(F.sum(F.col("w") * F.col("z")).alias("a"))
     return events.shift_z(d, "a").select("t_idx", F.col("z").alias("activation"))
 
 

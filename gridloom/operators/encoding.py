@@ -105,7 +105,7 @@ def in_out_ratio(rates: DataFrame, inside: Column) -> DataFrame:
 
 def centroid(rates: DataFrame, bins: DataFrame) -> DataFrame:
     """(unit, x, y): mean place by rate."""
-    d = rates.join(F.broadcast(bins.select("bin_id", "x", "y")), "bin_id")
+    d = rates.join(bins.select("bin_id", "x", "y"), "bin_id")
     at = lambda c: F.try_divide(F.sum(F.col(c) * F.col("rate")), F.sum("rate")).alias(c)
     return d.where("rate is not null").groupBy("unit").agg(at("x"), at("y"))
 
@@ -195,7 +195,7 @@ def border_scores(rates: DataFrame, grid: Grid, share: float = 0.3) -> DataFrame
     a wall's bins in the field, depth the mean distance of the field from its nearest wall,
     by rate and half the shorter side.
     """
-    d = field_bins(rates, share).join(F.broadcast(grid.bins.select("bin_id", "ix", "iy")), "bin_id")
+    d = field_bins(rates, share).join(grid.small(grid.bins.select("bin_id", "ix", "iy")), "bin_id")
     nx, ny = grid.shape
     steps = F.least(F.least("ix", nx - 1 - F.col("ix")) * grid.width[0], F.least("iy", ny - 1 - F.col("iy")) * grid.width[1])
     deepest = min((nx - 1) * grid.width[0], (ny - 1) * grid.width[1]) / 2
@@ -217,7 +217,7 @@ def grid_scores(rates: DataFrame, grid: Grid) -> DataFrame:
     import pandas as pd
 
     nx, ny = grid.shape
-    placed = rates.where("rate is not null").join(F.broadcast(grid.bins.select("bin_id", "ix", "iy")), "bin_id").select("unit", "ix", "iy", "rate")
+    placed = rates.where("rate is not null").join(grid.small(grid.bins.select("bin_id", "ix", "iy")), "bin_id").select("unit", "ix", "iy", "rate")
     schema = f"unit {rates.schema['unit'].dataType.simpleString()}, score double"
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:

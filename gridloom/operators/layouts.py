@@ -82,7 +82,8 @@ def polygon_grid(spark: SparkSession, polygon: Sequence[tuple[float, float]], wi
     inside = geometry.in_polygon(F.col("x"), F.col("y"), polygon)
     for hole in holes:
         inside = inside & ~geometry.in_polygon(F.col("x"), F.col("y"), hole)
-    return _active(whole, whole.bins.where(inside), diagonal)
+    # Written once: each use of the bins would go through the polygon's sides anew.
+    return _active(whole, Scratch(spark, "bins").keep("inside", whole.bins.where(inside)), diagonal)
 
 
 def corridor_grid(spark: SparkSession, segments: DataFrame, corridor: float, width: tuple[float, float], diagonal: bool = True) -> Grid:

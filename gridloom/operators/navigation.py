@@ -129,7 +129,7 @@ def turn_sequence(visits: DataFrame, bins: DataFrame, min_cross: float = 0.1, sp
     """
     d = ts.with_previous(visits.where("bin_id >= 0"), KEYS, ORDER, ("bin_id",), span)
     d = d.where("prev_bin_id is null or prev_bin_id <> bin_id").select("session", "idx", "t", "bin_id")
-    d = d.join(F.broadcast(bins.select("bin_id", "x", "y")), "bin_id")
+    d = d.join(bins.select("bin_id", "x", "y"), "bin_id")
     d = ts.with_next(ts.with_previous(d, KEYS, ORDER, ("x", "y"), span), KEYS, ORDER, ("x", "y"), span).where("prev_x is not null and next_x is not null")
     ax, ay, bx, by = F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y"), F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")
     cross = F.try_divide(ax * by - ay * bx, F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by))
@@ -161,7 +161,7 @@ def shifted_place_fields(rates: DataFrame, bins: DataFrame, shape: tuple[int, in
     """(shuffle, unit, ix, iy, rate): each unit's map moved round the grid by a draw along both axes."""
     from .stats import uniform
 
-    d = rates.join(F.broadcast(bins.select("bin_id", "ix", "iy")), "bin_id").withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
+    d = rates.join(bins.select("bin_id", "ix", "iy"), "bin_id").withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
     move = lambda c, n, k: F.pmod(F.col(c) + F.floor(uniform(F.col("shuffle"), F.col("unit"), seed=seed + k) * n), F.lit(n))
     return d.select("shuffle", "unit", move("ix", shape[0], 0).alias("ix"), move("iy", shape[1], 1).alias("iy"), "rate")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +66,13 @@ def place_fields(
     slow = fast_units(rates, max_mean_rate).where("not fast").select("unit")
     maps = rates.where("rate is not null").join(slow, "unit", "left_semi").join(near, "bin_id", "left").select("unit", "bin_id", F.col("rate").cast("double"), "near")
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rate = dict(zip(rows["bin_id"].tolist(), rows["rate"].tolist()))
-        links = {b: [n for n in (near if near is not None else ()) if n in rate] for b, near in zip(rows["bin_id"].tolist(), rows["near"])}
+    def find(rows: pa.Table) -> pa.Table:
+        ids = rows.column("bin_id").to_pylist()
+        rate = dict(zip(ids, rows.column("rate").to_pylist()))
+        links = {b: [n for n in near or () if n in rate] for b, near in zip(ids, rows.column("near").to_pylist())}
         found = [(k, b) for k, f in enumerate(_fields(rate, links, threshold, min_size, levels)) for b in sorted(f)]
-        return pd.DataFrame({"unit": [rows["unit"].iloc[0]] * len(found), "field": [k for k, _ in found], "bin_id": [b for _, b in found]})
+        unit = rows.column("unit")
+        columns = [pa.array(unit[:1].to_pylist() * len(found), unit.type), pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())]
+        return pa.table(columns, names=["unit", "field", "bin_id"])
 
-    return maps.groupBy("unit").applyInPandas(find, f"unit {rates.schema['unit'].dataType.simpleString()}, field long, bin_id long")
+    return maps.groupBy("unit").applyInArrow(find, f"unit {rates.schema['unit'].dataType.simpleString()}, field long, bin_id long")

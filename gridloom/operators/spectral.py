@@ -250,6 +250,6 @@ def live_basis(bins: DataFrame, values: DataFrame, modes: DataFrame, occupancy:
         return spark.createDataFrame([], "bin_id long, basis array<double>"), [], 0
     names = spark.createDataFrame(columns, "component long, mode int, column int")
     roots = spark.createDataFrame([(r.component, 1 / float(r.total) ** 0.5) for r in whole], "component long, constant double")
-    d = modes.join(F.broadcast(names), ["component", "mode"]).join(bins.select("bin_id", F.col(volume).alias("volume")), "bin_id").join(F.broadcast(roots), "component")
+    d = modes.join(names, ["component", "mode"]).join(bins.select("bin_id", F.col(volume).alias("volume")), "bin_id").join(roots, "component")
     d = d.select("bin_id", "column", F.when(F.col("mode") == 0, F.col("constant")).otherwise(F.col("v") / F.sqrt("volume")).alias("o0"))
     return _arrays(d, "o0", len(columns), "basis"), [0.0] * len(live) + [v for v, _, _ in fills], len(live)

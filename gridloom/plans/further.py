@@ -112,11 +112,6 @@ def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.isotonic_fit(d.select("t_idx", F.col("mean_x").alias("s"), F.col("peak").alias("p")))
 
 
-@named(f"SELECT range AS bin_id, (range // 12 + 0.5) * 10.0::DOUBLE AS distance, (range % 12 + 0.5) * (2 * {math.pi}::DOUBLE / 12) - {math.pi} AS angle, 0.5 * (pow((range // 12 + 1) * 10.0, 2) - pow((range // 12) * 10.0, 2)) * (2 * {math.pi}::DOUBLE / 12) AS area FROM range(0, 60)", "distance angle area")
-def polar_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.polar_bins(spark, (0.0, 50.0, 5), 12).select("bin_id", "distance", "angle", "area")
-
-
 @named("SELECT bin_id, CASE WHEN bin_id >= (SELECT count(*) FROM bins) THEN 1 ELSE 0 END AS part, x FROM (SELECT bin_id, x FROM bins UNION ALL SELECT bin_id + (SELECT count(*) FROM bins), x FROM bins)", "x")
 def union_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir)

@@ -32,19 +32,6 @@ def hex_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.hex_environment(samples(spark, sf_dir), 15.0, 3)[1]
 
 
-@named(f"""WITH p AS (SELECT range AS b, range // 12 AS i, range % 12 AS j FROM range(0, 60)) SELECT a.b AS src, c.b AS dst, CASE WHEN a.j = c.j THEN 10.0 ELSE (a.i + 0.5) * 10.0 * (2 * {PI} / 12) END AS distance
-  FROM p a JOIN p c ON (a.j = c.j AND abs(a.i - c.i) = 1) OR (a.i = c.i AND abs(a.j - c.j) IN (1, 11))""", "distance")
-def polar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layouts.polar_edges(grids.polar_bins(spark, (0.0, 50.0, 5), 12), 12)
-
-
-@named(f"SELECT range AS bin_id, CASE WHEN d > 6 THEN 12 - d ELSE d END * 25.0 * (2 * {PI} / 12) AS distance FROM (SELECT range, abs(range - 24) AS d FROM range(24, 36))", "distance")
-def polar_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest ways along one ring, round the seam."""
-    bins = grids.polar_bins(spark, (0.0, 50.0, 5), 12).where("i_distance = 2")
-    return fields.distance_field(layouts.polar_edges(bins, 12), bins.where("bin_id = 24").select("bin_id"))
-
-
 @named(f"""SELECT idx, CASE WHEN r < 50 THEN floor(r / 10.0)::BIGINT * 12 + floor((b + {PI}) / (2 * {PI} / 12))::BIGINT % 12 ELSE -1 END AS bin_id FROM (
   SELECT idx, sqrt((x - 100) * (x - 100) + (y - 50) * (y - 50)) AS r, atan2(y - 50, x - 100) AS b FROM samples)""")
 def polar_bin_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,22 +39,6 @@ def polar_bin_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("idx", layouts.polar_bin(F.sqrt(dx * dx + dy * dy), F.atan2(dy, dx), (0.0, 50.0, 5), 12).alias("bin_id"))
 
 
-@named("SELECT row_number() OVER (ORDER BY range) - 1 AS bin_id, range AS cell, (range // 10 + 0.5) * 20.0::DOUBLE AS x, (range % 10 + 0.5) * 10.0::DOUBLE AS y FROM range(0, 100) WHERE (range // 10 + range % 10) % 3 <> 0", "x y")
-def masked_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image-like mask: two of three cells along diagonals."""
-    mask = spark.range(100).select(F.floor(F.col("id") / 10).alias("ix"), F.pmod("id", F.lit(10)).alias("iy"))
-    mask = mask.withColumn("active", (F.col("ix") + F.col("iy")) % 3 != 0)
-    return layouts.masked_grid(spark, LO, WIDTH, SHAPE, mask).bins.select("bin_id", "cell", "x", "y")
-
-
-@named("""WITH c AS (SELECT (range // 9 + 0.5) * 20.0::DOUBLE AS x, (range % 9 + 0.5) * 10.0::DOUBLE AS y, range AS cell FROM range(0, 81))
-  SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, x, y FROM c WHERE x / 180.0 + y / 90.0 <= 1 + 1e-9 AND NOT (x BETWEEN 20 AND 60 AND y BETWEEN 20 AND 40)""", "x y")
-def polygon_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A triangle with a rectangular hole."""
-    hole = [(20.0, 20.0), (60.0, 20.0), (60.0, 40.0), (20.0, 40.0)]
-    return layouts.polygon_grid(spark, [(0.0, 0.0), (180.0, 0.0), (0.0, 90.0)], (20.0, 10.0), [hole]).bins.select("bin_id", "x", "y")
-
-
 @named("SELECT range // 10 AS ix, range % 10 AS iy, f.v FROM range(0, 100) LEFT JOIN bins b ON b.cell = range LEFT JOIN field f USING (bin_id)", "v")
 def full_grid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.full_grid_values(_field(spark, sf_dir), grid(spark, sf_dir))
@@ -145,19 +116,100 @@ def polar_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("bin_id >= 0").groupBy("bin_id").agg(F.sum("dt").alias("seconds"), F.count("*").alias("n"))
 
 
+# Shapes with the events that they hold
+
+#: The polar bin of every event around a point.
+POLAR_AT = f"""SELECT idx, CASE WHEN r < 50 THEN floor(r / 10.0)::BIGINT * 12 + floor((b + {PI}) / (2 * {PI} / 12))::BIGINT % 12 ELSE -1 END AS bin_id FROM (
+  SELECT idx, sqrt((x - 100) * (x - 100) + (y - 50) * (y - 50)) AS r, atan2(y - 50, x - 100) AS b FROM samples)"""
+
+
+def _polar_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    dx, dy = F.col("x") - 100.0, F.col("y") - 50.0
+    at = samples(spark, sf_dir).select(layouts.polar_bin(F.sqrt(dx * dx + dy * dy), F.atan2(dy, dx), (0.0, 50.0, 5), 12).alias("bin_id"))
+    return grids.polar_bins(spark, (0.0, 50.0, 5), 12), at.groupBy("bin_id").agg(F.count("*").alias("n"))
+
+
+def _held(bins: DataFrame, counts: DataFrame) -> DataFrame:
+    return bins.join(counts, "bin_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@named(f"""SELECT range AS bin_id, (range // 12 + 0.5) * 10.0::DOUBLE AS distance, (range % 12 + 0.5) * (2 * {PI} / 12) - {PI} AS angle, 0.5 * (pow((range // 12 + 1) * 10.0, 2) - pow((range // 12) * 10.0, 2)) * (2 * {PI} / 12) AS area,
+  (SELECT count(*) FROM ({POLAR_AT}) WHERE bin_id = range) AS n FROM range(0, 60)""", "distance angle area")
+def polar_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins around a point, with the events in each."""
+    return _held(*_polar_counts(spark, sf_dir)).select("bin_id", "distance", "angle", "area", "n")
+
+
+@named(f"""WITH n AS MATERIALIZED (SELECT bin_id, count(*) AS n FROM ({POLAR_AT}) GROUP BY bin_id), p AS (SELECT range AS b, range // 12 AS i, range % 12 AS j, coalesce(n, 0) AS n FROM range(0, 60) LEFT JOIN n ON bin_id = range)
+  SELECT a.b AS src, c.b AS dst, CASE WHEN a.j = c.j THEN 10.0 ELSE (a.i + 0.5) * 10.0 * (2 * {PI} / 12) END AS distance, c.n - a.n AS more FROM p a JOIN p c ON (a.j = c.j AND abs(a.i - c.i) = 1) OR (a.i = c.i AND abs(a.j - c.j) IN (1, 11))""", "distance")
+def polar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of polar bins, with how many more events the second holds than the first."""
+    bins, counts = _polar_counts(spark, sf_dir)
+    n = _held(bins, counts).select("bin_id", "n")
+    e = layouts.polar_edges(bins, 12)
+    for k in ("src", "dst"):
+        e = e.join(n.select(F.col("bin_id").alias(k), F.col("n").alias(f"n_{k}")), k)
+    return e.select("src", "dst", "distance", (F.col("n_dst") - F.col("n_src")).alias("more"))
+
+
+@named(f"""WITH f AS (SELECT arg_min(bin_id, (-n, bin_id)) AS b FROM (SELECT bin_id, count(*) AS n FROM ({POLAR_AT}) WHERE bin_id BETWEEN 24 AND 35 GROUP BY bin_id))
+  SELECT range AS bin_id, CASE WHEN d > 6 THEN 12 - d ELSE d END * 25.0 * (2 * {PI} / 12) AS distance FROM (SELECT range, abs(range - b) AS d FROM range(24, 36), f)""", "distance")
+def polar_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest ways along one ring, round the seam, from its bin with the most events."""
+    bins, counts = _polar_counts(spark, sf_dir)
+    ring = bins.where("i_distance = 2")
+    fullest = ring.join(counts, "bin_id").agg(F.max_by("bin_id", F.struct("n", -F.col("bin_id"))).alias("bin_id"))
+    return fields.distance_field(layouts.polar_edges(ring, 12), fullest)
+
+
+@named("""WITH n AS (SELECT range AS cell, coalesce(n, 0) AS n FROM range(0, 100) LEFT JOIN (SELECT cell, count(*) AS n FROM cells WHERE cell IS NOT NULL GROUP BY cell) c ON c.cell = range)
+  SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, cell, (cell // 10 + 0.5) * 20.0::DOUBLE AS x, (cell % 10 + 0.5) * 10.0::DOUBLE AS y FROM n WHERE n >= (SELECT avg(n) FROM n)""", "x y")
+def masked_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask as an image of the events gives it: cells of at least the mean brightness."""
+    whole = grids.regular_grid(spark, LO, WIDTH, SHAPE)
+    seen = grids.bin_at(samples(spark, sf_dir), whole).where("bin_id >= 0").groupBy("bin_id").agg(F.count("*").alias("n"))
+    image = _held(whole.bins.select("bin_id", "ix", "iy"), seen)
+    mean = image.agg(F.avg("n").alias("mean"))  # one row
+    mask = image.crossJoin(F.broadcast(mean)).select("ix", "iy", (F.col("n") >= F.col("mean")).alias("active"))
+    return layouts.masked_grid(spark, LO, WIDTH, SHAPE, mask).bins.select("bin_id", "cell", "x", "y")
+
+
+def _with_events(spark: SparkSession, sf_dir: str, g: grids.Grid, x: float = 0.0, y: float = 0.0) -> DataFrame:
+    """Bins of a grid with the events in each, the grid laid with its origin at a place."""
+    s = samples(spark, sf_dir).select((F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"))
+    return _held(g.bins, grids.bin_at(s, g).where("bin_id >= 0").groupBy("bin_id").agg(F.count("*").alias("n")))
+
+
+def _count_sql(width: float, height: float, x: float = 0.0, y: float = 0.0) -> str:
+    """Events in the cell whose center is (x, y) of the row."""
+    return f"(SELECT count(*) FROM samples s WHERE s.x - {x} >= b.x - {width / 2} AND s.x - {x} < b.x + {width / 2} AND s.y - {y} >= b.y - {height / 2} AND s.y - {y} < b.y + {height / 2}) AS n"
+
+
+@named(f"""WITH c AS (SELECT (range // 9 + 0.5) * 20.0::DOUBLE AS x, (range % 9 + 0.5) * 10.0::DOUBLE AS y, range AS cell FROM range(0, 81)),
+  b AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, x, y FROM c WHERE x / 180.0 + y / 90.0 <= 1 + 1e-9 AND NOT (x BETWEEN 20 AND 60 AND y BETWEEN 20 AND 40)) SELECT bin_id, x, y, {_count_sql(20, 10)} FROM b""", "x y")
+def polygon_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle with a rectangular hole, and the events in its bins."""
+    hole = [(20.0, 20.0), (60.0, 20.0), (60.0, 40.0), (20.0, 40.0)]
+    g = layouts.polygon_grid(spark, [(0.0, 0.0), (180.0, 0.0), (0.0, 90.0)], (20.0, 10.0), [hole])
+    return _with_events(spark, sf_dir, g).select("bin_id", "x", "y", "n")
+
+
 @named(f"""WITH c AS (SELECT range AS cell, range // 9 AS ix, range % 9 AS iy, (range // 9 + 0.5) * 10.0 - 48.30127018922193 AS x, (range % 9 + 0.5) * 10.0 - 55.0 AS y FROM range(0, 90)),
   s(dx, dy) AS (VALUES (cos(-{PI} / 2) * 50, sin(-{PI} / 2) * 50), (cos({PI} / 6) * 50, sin({PI} / 6) * 50), (cos(5 * {PI} / 6) * 50, sin(5 * {PI} / 6) * 50)),
-  o AS (SELECT cell, ix, iy, x, y, least(1.0, greatest(0.0, (x * dx + y * dy) / 2500)) AS u, dx, dy FROM c CROSS JOIN s)
-  SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, ix, iy FROM (SELECT cell, ix, iy, min(sqrt((u * dx - x) * (u * dx - x) + (u * dy - y) * (u * dy - y))) AS off FROM o GROUP BY ALL) WHERE off <= 5.0 + 1e-9""")
+  o AS (SELECT cell, ix, iy, x, y, least(1.0, greatest(0.0, (x * dx + y * dy) / 2500)) AS u, dx, dy FROM c CROSS JOIN s),
+  b AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, ix, iy, x, y FROM (SELECT cell, ix, iy, x, y, min(sqrt((u * dx - x) * (u * dx - x) + (u * dy - y) * (u * dy - y))) AS off FROM o GROUP BY ALL) WHERE off <= 5.0 + 1e-9)
+  SELECT bin_id, ix, iy, {_count_sql(10, 10, 100.0, 50.0)} FROM b""")
 def corridor_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of a Y maze with corridors 10 wide."""
-    return layouts.corridor_grid(spark, mazes.y_maze(spark, 50.0), 10.0, (10.0, 10.0)).bins.select("bin_id", "ix", "iy")
+    """Bins of a Y maze with corridors 10 wide, laid over the events."""
+    g = layouts.corridor_grid(spark, mazes.y_maze(spark, 50.0), 10.0, (10.0, 10.0))
+    return _with_events(spark, sf_dir, g, 100.0, 50.0).select("bin_id", "ix", "iy", "n")
 
 
-@named("""WITH c AS (SELECT range AS cell, (range // 15 + 0.5) * 10.0 - 75 AS x, (range % 15 + 0.5) * 10.0 - 75 AS y FROM range(0, 225)), inside AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, x, y FROM c WHERE (
+@named(f"""WITH c AS (SELECT range AS cell, (range // 15 + 0.5) * 10.0 - 75 AS x, (range % 15 + 0.5) * 10.0 - 75 AS y FROM range(0, 225)), b AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS bin_id, x, y FROM c WHERE (
     SELECT count_if(((y1 > y) <> (y2 > y)) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) FROM (SELECT 75 * cos(2 * pi() * range / 64) AS x1, 75 * sin(2 * pi() * range / 64) AS y1, 75 * cos(2 * pi() * (range + 1) / 64) AS x2, 75 * sin(2 * pi() * (range + 1) / 64) AS y2 FROM range(0, 64)) WHERE y1 <> y2) % 2 = 1)
-  SELECT bin_id, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN x > 0 THEN 'e' ELSE 'w' END AS half FROM inside""", "x y")
+  SELECT bin_id, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN x > 0 THEN 'e' ELSE 'w' END AS half, {_count_sql(10, 10, 100.0, 50.0)} FROM b""", "x y")
 def watermaze_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of a round pool laid over the events."""
     pool, _ = mazes.watermaze()
-    bins = layouts.polygon_grid(spark, pool, (10.0, 10.0)).bins
-    return bins.select("bin_id", "x", "y", F.when(F.col("x") > 0, "e").otherwise("w").alias("half"))
+    g = layouts.polygon_grid(spark, pool, (10.0, 10.0))
+    return _with_events(spark, sf_dir, g, 100.0, 50.0).select("bin_id", "x", "y", F.when(F.col("x") > 0, "e").otherwise("w").alias("half"), "n")

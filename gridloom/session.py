@@ -48,9 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of this process that ``clear_scratch`` deletes.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``clear_scratch`` deletes what is there."""
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all that this process has written to scratch paths, and tell how many there were.
+
+    DataFrames that still read from them, such as results that have not been written, are
+    lost; call it when a job's results are.
+    """
+    n = len(_MADE)
+    while _MADE:
+        drop_path(spark, _MADE.pop())
+    return n
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -114,7 +114,7 @@ def test_fields_within_fields(spark):
     maps = {
         "one": bumps(bins, (6, 6, 8, 2)),
         "saddle": bumps(bins, (7, 6, 8, 1.8), (13, 6, 8, 1.8)),  # one field at a fifth of the peak, two at half
-        "two": bumps(bins, (4, 6, 8, 1.5), (19, 6, 4, 1.5)),
+        "two": bumps(bins, (4.5, 6.5, 8, 1.5), (19.5, 6.5, 8, 1.5)),
         "tiny": bumps(bins, (6, 6, 8, 0.4)),
         "fast": {b.bin_id: 20.0 for b in bins},
         "silent": {b.bin_id: 0.0 for b in bins},
