@@ -82,7 +82,7 @@ def diffusion_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPREAD = taylor_sql(FACES, "SELECT bin_id, area AS volume FROM bins", "SELECT unit || part AS key, bin_id, v FROM (SELECT unit, 'a' AS part, bin_id, rate * 1e6 AS v FROM rates WHERE rate IS NOT NULL UNION ALL SELECT unit, 'b', bin_id, 1 FROM rates WHERE rate IS NOT NULL)", 50.0, 60, "key")
 
 
-@named(f"WITH s AS ({SPREAD}) SELECT unit, r.bin_id, a.v / b.v AS rate_e6 FROM rates r JOIN s a ON a.key = unit || 'a' AND a.bin_id = r.bin_id JOIN s b ON b.key = unit || 'b' AND b.bin_id = r.bin_id", "rate_e6")
+@named(f"WITH s AS ({SPREAD}) SELECT unit, r.bin_id, a.v / b.v AS rate_e6 FROM rates r LEFT JOIN s a ON a.key = unit || 'a' AND a.bin_id = r.bin_id LEFT JOIN s b ON b.key = unit || 'b' AND b.bin_id = r.bin_id", "rate_e6")
 def diffused_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate maps of all units smoothed by heat at once, bins without a rate left out of the mean."""
     g = grid(spark, sf_dir)

@@ -19,8 +19,7 @@ PEAKS = f"""SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY round(dis
 
 
 def _correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Rounded, so that what is equal but for the order of sums is equal.
-    return lattice.autocorrelogram(_unit_rates(spark, sf_dir), grid(spark, sf_dir)).withColumn("r", F.round("r", 9))
+    return lattice.autocorrelogram(_unit_rates(spark, sf_dir), grid(spark, sf_dir))
 
 
 @named(f"SELECT unit, dx, dy, n, r FROM ({SHIFTS})", "r")
@@ -30,7 +29,8 @@ def autocorrelogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.peaks(_correlogram(spark, sf_dir), SHAPE, WIDTH, apart=1)
+    # Rounded, so that what is equal but for the order of sums is equal.
+    return lattice.peaks(_correlogram(spark, sf_dir).withColumn("r", F.round("r", 9)), SHAPE, WIDTH, apart=1)
 
 
 @named(f"WITH shifts AS MATERIALIZED (SELECT * REPLACE (round(r, 9) AS r) FROM ({SHIFTS})) SELECT unit, place, dx, dy, distance, r FROM ({PEAKS})", "distance r")
