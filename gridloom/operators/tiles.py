@@ -4,7 +4,7 @@ A task holds one tile (all units by at most ``TILE_CELLS`` / units bins) and str
 bins past it, ``TIMES_AT_ONCE`` in one matrix product.  What leaves it for a time bin is one
 row: its largest log-likelihood, where that is, and sums scaled by it.  Tiles are merged by
 log-sum-exp, so that between tasks there are (time bins x tiles) rows and never (time bins x
-bins).  With 100 units and 5,000 bins there are two tiles, and a task needs about 170 MB:
+bins).  With 100 units and 5,000 bins there are two tiles, and a task should need about 170 MB:
 its tile twice (2 x 20 MB) and two products of 1,024 by 2,500 doubles (2 x 20 MB), the
 batch, and what the products are made from.
 """
