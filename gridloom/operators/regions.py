@@ -21,6 +21,21 @@ def contains(x: Column, y: Column, region: Region, boundary: bool = True, tolera
     return geometry.in_polygon(x, y, region, boundary)
 
 
+def buffered(x: Column, y: Column, region: Region, reach: float) -> Column:
+    """Whether a point lies within ``reach`` of a region, its corners rounded; a negative
+    ``reach`` takes that much off a polygon, and leaves nothing of a point."""
+    verts = [region] if isinstance(region, tuple) else list(region)
+    gaps = []
+    for (ax, ay), (bx, by) in zip(verts, [*verts[1:], verts[0]]):
+        dx, dy = bx - ax, by - ay
+        square = dx * dx + dy * dy
+        along = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - ax) * dx + (y - ay) * dy) / square)) if square else F.lit(0.0)
+        gaps.append(geometry.distance(x, y, ax + along * dx, ay + along * dy))
+    gap = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+    inside = F.lit(False) if isinstance(region, tuple) else geometry.in_polygon(x, y, region, True)
+    return inside & (gap >= -reach) if reach < 0 else inside | (gap <= reach)
+
+
 def label_points(points: DataFrame, regions: dict[str, Region], boundary: bool = True) -> DataFrame:
     """``points`` with regions: the sorted names of those that hold each."""
     names = [F.when(contains(F.col("x"), F.col("y"), r, boundary), F.lit(n)) for n, r in sorted(regions.items())]

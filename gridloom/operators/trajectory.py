@@ -136,14 +136,15 @@ def home_range(occupied: DataFrame, share: float = 0.95) -> DataFrame:
 
 def mean_square_displacement(samples: DataFrame, lags: int, span: float | None = None) -> DataFrame:
     """(lag, msd, n): mean square distance of samples ``lag`` rows apart, for 1 to ``lags``."""
-    d = samples.select("session", "idx", "t", "x", "y", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    out = None
-    for k in range(1, lags + 1):
-        d = ts.with_next(d, KEYS, ORDER, ("lx", "ly"), span).drop("lx", "ly").withColumnsRenamed({"next_lx": "lx", "next_ly": "ly"})
-        square = (F.col("lx") - F.col("x")) * (F.col("lx") - F.col("x")) + (F.col("ly") - F.col("y")) * (F.col("ly") - F.col("y"))
-        found = d.where("lx is not null").agg(F.lit(k).alias("lag"), F.avg(square).alias("msd"), F.count("*").alias("n"))
-        out = found if out is None else out.union(found)
-    return out
+    numbered = ts.running_sum(samples.select(*KEYS, *ORDER, "x", "y"), KEYS, ORDER, F.lit(1), "_n", span)
+    # Every row meets those up to ``lags`` later by number, in one join.
+    early = numbered.select(*KEYS, F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "_n")
+    late = numbered.select(*KEYS, "x", "y", F.col("_n").alias("_m"))
+    d = early.withColumn("_m", F.col("_n") + F.col("lag")).join(late, [*KEYS, "_m"]).where("x is not null")
+    square = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
+    found = d.groupBy("lag").agg(F.avg(square).alias("msd"), F.count("*").alias("n"))
+    frame = samples.sparkSession.range(1, lags + 1).select(F.col("id").cast("int").alias("lag"))
+    return frame.join(found, "lag", "left").select("lag", "msd", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def region_crossings(samples: DataFrame, inside: Column, span: float | None = None) -> DataFrame:
