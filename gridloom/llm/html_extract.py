@@ -62,7 +62,11 @@ _NAMES = frozenset(
     " sidebar menu navbar nav navigation breadcrumb breadcrumbs masthead footer share sharing newsletter subscribe signup toolbar pagination pager login".split()
 )
 #: The same for what readers write.
-_READERS = frozenset("comment comments disqus respond reply replies discussion discussions".split())
+_READERS = frozenset("comment comments commentlist disqus respond reply replies discussion discussions reviews".split())
+#: Names of adverts, which tell as much in the middle of a compound name.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsored".split())
+#: Names with an everyday sense: at the beginning of a compound name ("menu-description") they tell a topic.
+_TOPICS = frozenset(("menu",))
 #: Names that articles' own parts have as well: in a compound name they count only where links abound.
 _DOUBTFUL = frozenset("promo promotion banner header social related recommended notice notices alert widget".split())
 #: With one of these a compound name tells about a layout and not what the element is.
@@ -162,6 +166,10 @@ class _Page:
         ends = {parts[0], parts[-1]} if parts else set()
         if len(parts) > 1 and ends & _STATES:
             return "holder" if ends & (_NAMES | _READERS | _DOUBTFUL) else ""
+        if len(parts) > 1 and ends & _NAMES == ends & _TOPICS == {parts[0]} and not ends & (_READERS | _DOUBTFUL):
+            return "doubtful"
+        if len(parts) > 2 and _ADVERTS.intersection(parts):
+            return "named"
         for names, kind in ((_READERS, "readers"), (_NAMES, "named"), (_DOUBTFUL, "named" if len(parts) == 1 else "doubtful")):
             if ends & names:
                 return kind

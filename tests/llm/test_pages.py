@@ -121,3 +121,14 @@ def test_several_articles_stay_in_order():
 def test_comments_longer_than_the_text_go():
     page = f"<body><div class=post>{ARTICLE}</div><div id=comments>" + f"<p>{P * 4}</p>" * 6 + "</div></body>"
     assert html_extract.main_text(page).split("\n\n") == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("name", ["commentlist", "user-reviews", "google-ad-slot", "main-menu", "ad-box", "menu-ads"])
+def test_names_inside_a_marked_article_go(name):
+    assert html_extract.main_text(f"<body><article>{ARTICLE}<div class='{name}'><p>{P}</p></div></article></body>").split("\n\n") == ARTICLE_TEXT
+
+
+def test_topics_stay_and_menus_go():
+    page = "<body><article>{}<div class='menu-description'>{}</div></article></body>"
+    assert html_extract.main_text(page.format(ARTICLE, f"<p>{P}</p>")).split("\n\n") == [*ARTICLE_TEXT, P.strip()]
+    assert html_extract.main_text(page.format(ARTICLE, f"<ul>{LINKS}</ul>")).split("\n\n") == ARTICLE_TEXT
