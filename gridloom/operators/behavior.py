@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import angles, geometry
 from . import timeseries as ts
@@ -168,5 +167,5 @@ def curvature(samples: DataFrame, half: int, span: float | None = None) -> DataF
     """(session, idx, t, curvature): mean turn angle over ``half`` samples to either side."""
     from .trajectory import turn_angles
 
-    w = Window.partitionBy("session").orderBy("t", "idx").rowsBetween(-half, half)
-    return turn_angles(samples, span).select("session", "idx", "t", F.avg("turn").over(w).alias("curvature"))
+    turns = turn_angles(samples, span).select("session", "idx", "t", "turn")
+    return ts.moving_mean(turns, ("session",), ("t", "idx"), F.col("turn"), half, "curvature", span).drop("turn")

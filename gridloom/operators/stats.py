@@ -49,16 +49,21 @@ def jittered(spikes: DataFrame, width: float, n: int, seed: int = 0) -> DataFram
     return d.select("surrogate", "unit", (F.col("t") + width * normal).alias("t"))
 
 
-def shuffled_intervals(spikes: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(surrogate, unit, t): trains with the same first spike and the same intervals in another order."""
+def shuffled_intervals(spikes: DataFrame, n: int, seed: int = 0, pieces: int = 64) -> DataFrame:
+    """(surrogate, unit, t): trains with the same first spike and the same intervals in another order.
+
+    The order is that of a draw from 0 to 1 for each interval, and sums run over stretches of
+    one of ``pieces`` of it, so that a unit of any number of spikes is spread.  Spikes at one
+    time draw alike, and their intervals of 0 come in any order.
+    """
     d = ts.with_previous(spikes.select("unit", "t", F.monotonically_increasing_id().alias("idx")), ("unit",), ("t", "idx"), ("t",))
-    first = d.where("prev_t is null").select("unit", F.col("t").alias("t0"))
+    first = d.groupBy("unit").agg(F.min("t").alias("t0"))
     gaps = d.where("prev_t is not null").select("unit", (F.col("t") - F.col("prev_t")).alias("gap"), "t")
     gaps = gaps.withColumn("surrogate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    order = Window.partitionBy("surrogate", "unit").orderBy(uniform(F.col("surrogate"), F.col("unit"), F.col("t"), seed=seed), "t")
-    moved = gaps.withColumn("s", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(first, "unit")
-    start = first.withColumn("surrogate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("surrogate", "unit", F.col("t0").alias("t"))
-    return moved.select("surrogate", "unit", (F.col("t0") + F.col("s")).alias("t")).union(start)
+    gaps = gaps.withColumn("draw", uniform(F.col("surrogate"), F.col("unit"), F.col("t"), seed=seed))
+    summed = ts.running_sum(gaps, ("surrogate", "unit"), ("draw", "t", "gap"), F.col("gap"), "s", 1.0 / pieces)
+    start = first.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("surrogate"), "unit", F.col("t0").alias("t"))
+    return summed.join(first, "unit").select("surrogate", "unit", (F.col("t0") + F.col("s")).alias("t")).union(start)
 
 
 def poisson_counts(frame: DataFrame, rate: Column, seed: int = 0, most: int = 64) -> Column:
@@ -73,6 +78,6 @@ def poisson_counts(frame: DataFrame, rate: Column, seed: int = 0, most: int = 64
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda s: s["k"])
 
 
-def moving_rate(counts: DataFrame, half: int) -> DataFrame:
-    """``counts`` (t_idx, unit, n) with the mean of the bins up to ``half`` away."""
-    return counts.withColumn("rate", F.avg("n").over(Window.partitionBy("unit").orderBy("t_idx").rowsBetween(-half, half)))
+def moving_rate(counts: DataFrame, half: int, span: float = 65_536) -> DataFrame:
+    """``counts`` (t_idx, unit, n) with the mean of the bins up to ``half`` away; ``span`` bins of a unit are numbered at a time."""
+    return ts.moving_mean(counts, ("unit",), ("t_idx",), F.col("n"), half, "rate", span)

@@ -59,6 +59,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return cut.drop("_cut", "_value", "_before")
 
 
+#: Rows of a key that one task goes through for a moving mean.
+ROWS = 65_536
+
+
+def moving_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, half: int, out: str, span: float | None = None, rows: int = ROWS) -> DataFrame:
+    """``df`` with the mean of ``value`` over the rows up to ``half`` before and after each.
+
+    A key's rows are numbered and cut into stretches of ``rows``; rows near an end are copied
+    to the stretch beyond.  Null values are left out, and a mean of none is null.
+    """
+    numbered = running_sum(df.withColumn("_v", value), keys, order, F.lit(1), "_n", span)
+    own = F.floor(F.col("_n") / rows)
+    around = F.sequence(F.floor((F.col("_n") - half) / rows), F.floor((F.col("_n") + half) / rows))
+    placed = numbered.withColumn("_own", own).withColumn("_piece", F.explode(around))
+    near = Window.partitionBy(*keys, "_piece").orderBy("_n").rowsBetween(-half, half)
+    return placed.withColumn(out, F.avg("_v").over(near)).where("_own = _piece").drop("_v", "_n", "_own", "_piece")
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, columns: Sequence[str], prefix: str = "prev_", backward: bool = True, strict: bool = False, span: float | None = None) -> DataFrame:
     """``left`` with the ``columns`` of the last row of ``right`` at or before ``t`` (first at or after it).
 

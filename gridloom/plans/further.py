@@ -148,3 +148,17 @@ def interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = spans.select("session", F.col("t").alias("ord"), F.col("t").alias("start_t"), F.col("next_t").alias("stop_t"), F.col("idx").alias("purchase"))
     viewed = samples(spark, sf_dir).where("event_type = 'view'").select("session", "idx", "t")
     return events.label_by_intervals(viewed, spans, F.col("purchase"), MAX_GAP, "idx", ["session"])
+
+
+@named(f"SELECT idx, count(*) AS n, count(*) / (SELECT count(*) FROM bins) AS share FROM ({SEEN}) GROUP BY idx", "share")
+def visible_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the arena every moving sample sees."""
+    seen = visibility.viewshed(_headed(spark, sf_dir).select("idx", "x", "y", "heading"), grid(spark, sf_dir), 10, 0.5, 60.0, 20)
+    return visibility.visible_share(seen, grid(spark, sf_dir), ["idx"])
+
+
+@named(f"SELECT v.bin_id, sum(h.dt) AS seconds FROM ({SEEN}) v JOIN stepped h USING (idx) GROUP BY v.bin_id", "seconds")
+def view_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long every bin was in view."""
+    headed = trajectory.steps(samples(spark, sf_dir), SPAN).select("session", "idx", "t", "x", "y", "heading")
+    return visibility.view_occupancy(headed, grid(spark, sf_dir), 10, 0.5, 60.0, 20, SPAN)
