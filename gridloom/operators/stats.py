@@ -24,14 +24,23 @@ def p_value(null: DataFrame, observed: float, tail: str = "greater") -> DataFram
     return null.agg(p.alias("p"), F.try_divide(observed - F.avg("score"), F.nullif(F.stddev_pop("score"), F.lit(0.0))).alias("z"), n.alias("n"))
 
 
-def permuted(df: DataFrame, value: str, by: Sequence[str], row: str, n_shuffles: int, seed: int = 0) -> DataFrame:
-    """(shuffle, by, row, value): the values of each group dealt to its rows in another order, ``n_shuffles`` times."""
+#: Pieces of a draw from 0 to 1 that the rows of a shuffled group are numbered in.
+PIECES = 256
+
+
+def permuted(df: DataFrame, value: str, by: Sequence[str], row: str, n_shuffles: int, seed: int = 0, span: float | None = None, pieces: int = PIECES) -> DataFrame:
+    """``df`` with shuffle, the values of each group dealt to its rows in another order, ``n_shuffles`` times.
+
+    Rows are numbered by ``row``, in stretches of ``span`` of it where it is a number, and
+    dealt values by a draw, in ``pieces`` of it; both numbers meet in a join of two shuffled
+    sides, as either is as large as the data.
+    """
+    others = [c for c in df.columns if c != value]
+    rows = ts.running_sum(df.select(*others), by, (row,), F.lit(1), "_at", span)
     d = df.select(*by, row, value).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))))
-    group = Window.partitionBy("shuffle", *by)
     draw = uniform(F.col("shuffle"), F.col(row), *[F.col(c) for c in by], seed=seed)
-    d = d.withColumns({"_k": F.row_number().over(group.orderBy(row)), "_j": F.row_number().over(group.orderBy(draw, row))})
-    keys = ["shuffle", *by]
-    return d.select(*keys, row, F.col("_k").alias("_at")).join(d.select(*keys, F.col("_j").alias("_at"), value), [*keys, "_at"]).drop("_at")
+    dealt = ts.running_sum(d.withColumn("_draw", draw), ["shuffle", *by], ("_draw", row), F.lit(1), "_at", 1.0 / pieces)
+    return dealt.select("shuffle", *by, "_at", value).join(rows.hint("merge"), [*by, "_at"]).select("shuffle", *df.columns)
 
 
 def circular_shift(df: DataFrame, position: str, n: int, by: Sequence[str], n_shuffles: int, seed: int = 0) -> DataFrame:

@@ -478,7 +478,7 @@ def shuffle_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffled_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of x and y within event types, and of 20 shuffles of y."""
     s = samples(spark, sf_dir).select("event_type", "idx", "x", "y")
-    d = stats.permuted(s, "y", ["event_type"], "idx", 20).join(s.select("idx", "x"), "idx")
+    d = stats.permuted(s, "y", ["event_type"], "idx", 20, span=65_536)
     return d.groupBy("shuffle", "event_type").agg(correlation(F.col("x"), F.col("y")).alias("r"))
 
 
