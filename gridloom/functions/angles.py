@@ -11,8 +11,9 @@ from .moments import correlation
 
 
 def wrap(a: Column) -> Column:
-    """Into [-pi, pi)."""
-    return F.pmod(a + math.pi, F.lit(2 * math.pi)) - math.pi
+    """Into [-pi, pi), by the steps that SQL takes, as they decide which end a half turn gets."""
+    turn = 2 * math.pi
+    return ((a + math.pi) % turn + turn) % turn - math.pi
 
 
 def wrap_right(a: Column) -> Column:

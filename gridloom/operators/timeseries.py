@@ -59,6 +59,27 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return cut.drop("_cut", "_value", "_before")
 
 
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, backward: bool = True, span: float | None = None) -> DataFrame:
+    """``df`` with the last ``value`` that is not null up to and with each row (the first from it on)."""
+    cut = df.withColumn("_cut", _stretch(order[0], span)).withColumn("_value", value)
+    rows = Window.partitionBy(*keys, "_cut").orderBy(*order)
+    if backward:
+        found = F.last("_value", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        found = F.first("_value", ignorenulls=True).over(rows.rowsBetween(0, Window.unboundedFollowing))
+    cut = cut.withColumn(out, found)
+    if span:
+        edge = (F.max_by if backward else F.min_by)("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+        edges = cut.groupBy(*keys, "_cut").agg(edge.alias("_edge"))
+        stretches = Window.partitionBy(*keys).orderBy("_cut")
+        if backward:
+            beyond = F.last("_edge", ignorenulls=True).over(stretches.rowsBetween(Window.unboundedPreceding, -1))
+        else:
+            beyond = F.first("_edge", ignorenulls=True).over(stretches.rowsBetween(1, Window.unboundedFollowing))
+        cut = cut.join(edges.select(*keys, "_cut", beyond.alias("_beyond")), [*keys, "_cut"]).withColumn(out, F.coalesce(out, "_beyond"))
+    return cut.drop("_cut", "_value", "_beyond")
+
+
 #: Rows of a key that one task goes through for a moving mean.
 ROWS = 65_536
 
