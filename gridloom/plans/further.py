@@ -153,8 +153,9 @@ def interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @named(f"SELECT idx, count(*) AS n, count(*) / (SELECT count(*) FROM bins) AS share FROM ({SEEN}) GROUP BY idx", "share")
 def visible_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the arena every moving sample sees."""
-    seen = visibility.viewshed(_headed(spark, sf_dir).select("idx", "x", "y", "heading"), grid(spark, sf_dir), 10, 0.5, 60.0, 20)
-    return visibility.visible_share(seen, grid(spark, sf_dir), ["idx"])
+    g = grid(spark, sf_dir)
+    seen = visibility.viewshed(_headed(spark, sf_dir).select("idx", "x", "y", "heading"), g, 10, 0.5, 60.0, 20)
+    return visibility.visible_share(seen, g, ["idx"])
 
 
 @named(f"SELECT v.bin_id, sum(h.dt) AS seconds FROM ({SEEN}) v JOIN stepped h USING (idx) GROUP BY v.bin_id", "seconds")
