@@ -126,17 +126,22 @@ def skewed_share(bins: DataFrame, faces: DataFrame, degrees: float = 30.0) -> Da
 def mesh_bin_at(points: DataFrame, bins: DataFrame, cell: float, out: str = "bin_id") -> DataFrame:
     """``points`` (x, y) with the triangle that holds each, the first of those that share a side it lies on; -1 elsewhere.
 
-    Triangles are listed in all cells of size ``cell`` that their extents meet.
+    Triangles are listed in all cells of size ``cell`` that their extents meet, and each cell's
+    are one row that its points are joined to, so that points stay where they are.
     """
     corners = [f"{k}{v}" for k in "abc" for v in "xy"]
     ends = lambda v: (F.floor(F.least(*[F.col(f"{k}{v}") for k in "abc"]) / cell), F.floor(F.greatest(*[F.col(f"{k}{v}") for k in "abc"]) / cell))
-    index = bins.select(F.col("bin_id").alias("_bin"), *[F.col(c).alias(f"_{c}") for c in corners], F.explode(F.sequence(*ends("x"))).alias("_i"), F.sequence(*ends("y")).alias("_js"))
-    index = index.withColumn("_j", F.explode("_js")).drop("_js")
-    p = points.withColumns({"_row": F.monotonically_increasing_id(), "_i": F.floor(F.col("x") / cell), "_j": F.floor(F.col("y") / cell)})
-    cross = lambda i, j: (F.col(f"_{j}x") - F.col(f"_{i}x")) * (F.col("y") - F.col(f"_{i}y")) - (F.col(f"_{j}y") - F.col(f"_{i}y")) * (F.col("x") - F.col(f"_{i}x"))
-    sides = [cross("a", "b"), cross("b", "c"), cross("c", "a")]
-    within = (F.least(*sides) >= 0) | (F.greatest(*sides) <= 0)
-    # A side is in two triangles at most, a corner in a few.
-    hit = F.when(within, F.col("_bin"))
-    found = p.join(index, ["_i", "_j"], "left").groupBy("_row").agg(F.min(hit).alias("_hit"), F.first(F.struct(*[F.col(c) for c in points.columns])).alias("_p"))
-    return found.select("_p.*", F.coalesce("_hit", F.lit(-1)).alias(out))
+    index = bins.select(F.struct(F.col("bin_id").alias("bin"), *corners).alias("_t"), F.explode(F.sequence(*ends("x"))).alias("_i"), F.sequence(*ends("y")).alias("_js"))
+    index = index.select("_t", "_i", F.explode("_js").alias("_j")).groupBy("_i", "_j").agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+    # As many cells as the arena's mesh meets, whatever the number of points.
+    at = lambda v: F.floor(F.nullif(F.col(v), F.lit(float("nan"))) / cell)
+    p = points.withColumns({"_i": at("x"), "_j": at("y")}).join(F.broadcast(index), ["_i", "_j"], "left")
+
+    def within(t: Column) -> Column:
+        cross = lambda i, j: (t[f"{j}x"] - t[f"{i}x"]) * (F.col("y") - t[f"{i}y"]) - (t[f"{j}y"] - t[f"{i}y"]) * (F.col("x") - t[f"{i}x"])
+        sides = [cross("a", "b"), cross("b", "c"), cross("c", "a")]
+        return (F.least(*sides) >= 0) | (F.greatest(*sides) <= 0)
+
+    # A side is in two triangles at most, a corner in a few; the first in order has the least number.
+    hit = F.get(F.filter("_ts", within), F.lit(0))["bin"]
+    return p.select(*points.columns, F.coalesce(hit, F.lit(-1)).alias(out))
